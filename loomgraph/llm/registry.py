@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import op5_sharding, op9_lines, op10_mixing
+from . import op1_topk, op5_sharding, op8_embeddings, op9_lines, op10_mixing
 
 
 def queries() -> dict:
     return {
+        "op1_topk_search": op1_topk.op1_topk_search,
         "op5_shard": op5_sharding.op5_shard,
+        "op8_embedding_dedup": op8_embeddings.op8_embedding_dedup,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_mix_sources": op10_mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": op9_lines.SQL, "op10_mix_sources": op10_mixing.SQL}
+    return {"op1_topk_search": op1_topk.SQL, "op8_embedding_dedup": op8_embeddings.SQL, "op9_line_dedup": op9_lines.SQL, "op10_mix_sources": op10_mixing.SQL}
