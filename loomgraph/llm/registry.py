@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op5_sharding, op8_embeddings, op9_lines, op10_mixing
+from . import op1_topk, op2_language, op3_toxicity, op5_sharding, op6_bpe, op8_embeddings, op9_lines, op10_mixing
 
 
 def queries() -> dict:
     return {
         "op1_topk_search": op1_topk.op1_topk_search,
+        "op2_language_id": op2_language.op2_language_id,
+        "op3_toxicity": op3_toxicity.op3_toxicity,
         "op5_shard": op5_sharding.op5_shard,
+        "op6_bpe": op6_bpe.op6_bpe,
         "op8_embedding_dedup": op8_embeddings.op8_embedding_dedup,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_mix_sources": op10_mixing.op10_mix_sources,
