@@ -83,7 +83,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(len(texts), doc, place), -30, 30)))
 
 
-def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4) -> Machine:
+def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Machine:
     """Full-batch Adam; (doc, place) sorted by doc."""
     rng = np.random.default_rng(7)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
             return n1 / (n0 + n1)
         p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
         z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        best = freq.filter("b >= 0 and n0 + n1 >= 3").select("b", z.alias("z")).filter("z >= 2").orderBy(F.desc("z"), "b").limit(terms)
+        best = freq.filter("b >= 0 and n0 + n1 >= 3").select("b", z.alias("z")).filter("z >= 4").orderBy(F.desc("z"), "b").limit(terms)
         at = np.array([r["b"] for r in best.collect()], np.int64)  # at most ``terms`` rows
     finally:
         freq.unpersist()

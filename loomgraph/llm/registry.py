@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op2_language, op3_toxicity, op5_sharding, op6_bpe, op8_embeddings, op9_lines, op10_mixing
+from . import op1_topk, op2_language, op3_toxicity, op5_sharding, op6_bpe, op7_suffixes, op8_embeddings, op9_lines, op10_mixing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity.op3_toxicity,
         "op5_shard": op5_sharding.op5_shard,
         "op6_bpe": op6_bpe.op6_bpe,
+        "op7_repeated_strings": op7_suffixes.op7_repeated_strings,
         "op8_embedding_dedup": op8_embeddings.op8_embedding_dedup,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_mix_sources": op10_mixing.op10_mix_sources,
