@@ -93,7 +93,7 @@ def numbered(doc: np.ndarray) -> np.ndarray:
 def texts_runs(texts, span: int, gram: int):
     """For pieces of an Arrow string array: data, offsets, first text, and the runs."""
     data, off = buffers(texts)
-    for i, j in slices(off, 1 << 22):
+    for i, j in slices(off, 1 << 20):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         yield part, o, i, runs_of(part, o, span, gram)
 
@@ -186,7 +186,7 @@ def suffix_reduce(rows, span: int):
 MARKS = "doc long, ask boolean, runs binary, masks binary"
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: int = 20, shard_runs: int = 1_500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: int = 20, shard_runs: int = 250_000) -> DataFrame:
     """docs with a struct __lg_cut(n_bytes, n_removed, n_spans, kept binary)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= span))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -197,24 +197,28 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: i
 
         for b in parts:
             ids = b.column(0).to_numpy().astype(np.int64)
+            got = [[], [], [], [], []]
             for _, _, i, (doc, _, count, low, name) in texts_runs(b.column(1), span, gram):
-                run = numbered(doc)
-                shard = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                o = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[o], np.arange(shards + 1))
-                out = {k: [] for k in ("shard", "keys", "names", "docs", "per", "runs", "counts")}
-                for s in np.flatnonzero(np.diff(cut)):
-                    w = o[cut[s] : cut[s + 1]]
-                    d, per = np.unique(doc[w], return_counts=True)
-                    out["shard"].append(int(s))
-                    out["keys"].append((low[w] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                    out["names"].append(name[w].tobytes())
-                    out["docs"].append(ids[d + i].tobytes())
-                    out["per"].append(per.astype(np.uint32).tobytes())
-                    out["runs"].append(run[w].astype(np.uint32).tobytes())
-                    out["counts"].append(count[w].astype(np.uint8).tobytes())
-                if out["shard"]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("keys", "names", "docs", "per", "runs", "counts")]], list(out))
+                for x, y in zip(got, (doc + i, numbered(doc).astype(np.uint32), count.astype(np.uint8), low, name), strict=True):
+                    x.append(y)
+            if not got[0]:
+                continue
+            doc, run, count, low, name = (np.concatenate(x) for x in got)
+            shard = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+            o = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[o], np.arange(shards + 1))
+            out = {k: [] for k in ("shard", "keys", "names", "docs", "per", "runs", "counts")}
+            for s in np.flatnonzero(np.diff(cut)):
+                w = o[cut[s] : cut[s + 1]]
+                d, per = np.unique(doc[w], return_counts=True)
+                out["shard"].append(int(s))
+                out["keys"].append((low[w] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+                out["names"].append(name[w].tobytes())
+                out["docs"].append(ids[d].tobytes())
+                out["per"].append(per.astype(np.uint32).tobytes())
+                out["runs"].append(run[w].tobytes())
+                out["counts"].append(count[w].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("keys", "names", "docs", "per", "runs", "counts")]], list(out))
 
     blobs = src.mapInArrow(send, "shard int, keys binary, names binary, docs binary, per binary, runs binary, counts binary")
     marks = scratch.save(blobs.groupBy("shard").applyInArrow(first_reduce, MARKS))
