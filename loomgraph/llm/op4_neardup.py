@@ -12,10 +12,11 @@ Darts are thrown until a time at which about k ln k + 3k have fallen, whatever t
 twice as long for those documents where a coordinate is still empty.
 
 Candidates.  32 bands of 4 coordinates make buckets; a pair of similarity 0.8 misses all of them with a
-probability of 5e-8.  Within a bucket no pairs are listed: in each round the members of the smallest classes lead, 1
-of them at first, then 8 times as many a round, and are held against the members of other
-classes; leaders then leave the bucket, having met everyone, and a bucket whose members are of one class is done.
-Every candidate is verified exactly from the texts.
+probability of 5e-8.  Within a bucket no pairs are listed.  First its smallest id leads and is held against all
+other members, which settles groups around one original.  In buckets that still hold several classes, the
+members outside the largest one are then held against all members of other classes, in
+blocks of bounded size that return a spanning forest of the links they find.  A pair that shares several buckets is
+compared in the first.  Every comparison is exact, from the texts' shingles.
 
 Defined cases: equal texts are one class from the start, empty ones too; texts without words are linked with equal
 texts only; texts of fewer than five words have one shingle; null texts and rows with a null id are classes of their own; rows that repeat
@@ -27,9 +28,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import Scratch, buffers, components, hash_range, mix64, shingle_hashes, slices, table, word_hashes
+from .op8_embeddings import forest
 
 _ODD = hash_range(4096, 0xDA27) | np.uint64(1)
 
@@ -157,7 +158,48 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, share: int = 128) -
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands: int = 32, rows: int = 4, first_leaders: int = 1, growth: int = 8) -> DataFrame:
+def join_bucket(part, least: float):
+    """Links between leading rows and the others of one block of a bucket, as a spanning forest."""
+    import pyarrow as pa
+
+    lead = part.column("lead").to_numpy(zero_copy_only=False).astype(bool)
+    home = part.column("home").to_numpy(zero_copy_only=False).astype(bool)
+    ids, cls, mass = (part.column(k).to_numpy() for k in ("id", "c", "mass"))
+    bands = np.frombuffer(b"".join(part.column("bands").to_pylist()), ">i8").astype(np.int64).reshape(len(ids), -1)
+    band = int(np.flatnonzero(bands[0] == part.column("bucket")[0].as_py())[0])
+    got = [(doc + i, key, count) for i, _, (doc, key, count) in shingles(part.column("text"))]
+    doc, key, count = (np.concatenate(x) for x in zip(*got, strict=True))
+    size, place = 0, key
+    if len(key):
+        distinct, place = np.unique(key, return_inverse=True)
+        size = len(distinct)
+    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+    other = np.flatnonzero(~lead)
+    us, vs = [], []
+    for h in np.flatnonzero(lead):
+        want = (cls[other] != cls[h]) & (np.minimum(mass[other], mass[h]) >= least * np.maximum(mass[other], mass[h]))
+        want &= ~home[other] | (ids[other] > ids[h])  # both lead: once
+        want &= ~(bands[other, :band] == bands[h, :band]).any(axis=1)  # they met in an earlier bucket
+        todo = other[want]
+        if not len(todo):
+            continue
+        own = np.zeros(size)
+        own[place[cut[h] : cut[h + 1]]] = count[cut[h] : cut[h + 1]]
+        n = cut[todo + 1] - cut[todo]
+        at = np.repeat(cut[todo] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        low = np.add.reduceat(np.minimum(own[place[at]], count[at]), np.cumsum(n) - n)
+        hit = todo[low >= least * (mass[h] + mass[todo] - low)]
+        us.append(np.full(len(hit), h))
+        vs.append(hit)
+    i = np.concatenate(us) if us else np.zeros(0, np.int64)
+    j = np.concatenate(vs) if vs else np.zeros(0, np.int64)
+    if not len(i):
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    u, v = forest(i, j, ids.astype(np.int64))
+    return pa.table({"u": u[u != v], "v": v[u != v]})
+
+
+def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands: int = 32, rows: int = 4, home_bytes: int = 2_000_000, other_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, class_id for each row of docs(doc_id, text)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ok = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
@@ -173,47 +215,39 @@ def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands
             for i, n, (doc, key, count) in shingles(b.column(3)):
                 mass[i : i + n] = np.bincount(doc, count, minlength=n)
                 keys[i : i + n] = bands_of(dart_signatures(n, doc, key, count, bands * rows), bands, rows)
-            lists = [k.tobytes() if m else None for k, m in zip(keys, mass, strict=True)]
+            lists = [k.tobytes() if m else None for k, m in zip(keys.astype(">i8"), mass, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(mass), pa.array(lists, pa.binary())], ["doc_id", "k1", "k2", "mass", "bands"])
 
     sketched = keyed.mapInArrow(sketch, "doc_id long, k1 long, k2 long, mass double, bands binary")
     groups = scratch.save(sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("mass").alias("mass"), F.min("bands").alias("bands")))
-    # the i-th 8 bytes of the packed keys, least significant first, name a bucket
+    # the i-th 8 bytes of the packed keys, most significant first, name a bucket
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.hex("bands"), i * 16 + 1, F.lit(16)))
     dealt = groups.filter("bands is not null").select("id", "mass", F.explode(keys).alias("hex")).select("id", "mass", F.conv("hex", 16, -10).cast("long").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = scratch.save(dealt.join(shared, "bucket").distinct())
     texts = groups.select("id", "k1", "k2").join(members.select("id").distinct(), "id", "left_semi")
     texts = scratch.save(keyed.join(texts.withColumnRenamed("id", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("id"), "text"))
-    tested, links, comp, leaders = None, None, None, first_leaders
-    while True:
-        if comp is not None:
-            now = members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            live = now.groupBy("bucket").agg((F.min("c") < F.max("c")).alias("open")).filter("open").select("bucket")
-            now = scratch.save(now.join(live, "bucket"))
-        else:
-            now = members.withColumn("c", F.col("id"))
-        if not now.take(1):
-            break
-        sizes = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-        order = W.partitionBy("bucket").orderBy("n", "id")
-        head = now.join(sizes, ["bucket", "c"]).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders)
-        head = scratch.save(head.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("mass").alias("ma")))
-        near = (F.least("ma", "mass") >= least * F.greatest("ma", "mass")) & (F.col("ca") != F.col("c"))
-        met = head.join(now, "bucket").filter(near).select("a", F.least("a", "id").alias("x"), F.greatest("a", "id").alias("y"))
-        pairs = met.groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
-        if tested is not None:
-            old = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        found = scratch.save(verify(pairs, texts, least))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if comp is None else found.union(comp.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        comp = components(scratch, links)
-        members = scratch.save(now.select("bucket", "id", "mass").join(head.select("bucket", F.col("a").alias("id")), ["bucket", "id"], "left_anti"))
-        leaders = max(leaders * growth, 1)
+    head = members.groupBy("bucket").agg(F.min(F.struct("id", "mass")).alias("m")).select("bucket", F.col("m.id").alias("a"), F.col("m.mass").alias("ma"))
+    near = (F.least("ma", "mass") >= least * F.greatest("ma", "mass")) & (F.col("a") != F.col("id"))
+    pairs = scratch.save(members.join(head, "bucket").filter(near).select("a", F.col("id").alias("b")).distinct())
+    links = scratch.save(verify(pairs, texts, least))
+    comp = components(scratch, links)
+    now = scratch.save(members.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+    sizes = now.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("bucket", F.col("top.c").alias("top"))
+    open_ = now.join(main, "bucket").withColumn("home", F.col("c") != F.col("top")).drop("top")
+    full = open_.join(groups.select("id", "bands"), "id").join(texts, "id").withColumn("len", F.octet_length("text"))
+    cut = full.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("home"), F.col("len"))) / home_bytes).cast("int").alias("hb"), F.ceil(F.sum("len") / other_bytes).cast("int").alias("ab"))
+    rows_ = full.join(cut, "bucket")
+    place = lambda n: F.pmod(F.xxhash64(F.lit(4), "id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cols = ["bucket", "id", "c", "mass", "bands", "text", "home"]
+    homes = rows_.filter("home").withColumn("x", place("hb")).select(*cols, F.lit(True).alias("lead"), "x", F.explode(every("ab")).alias("y"))
+    others = rows_.withColumn("y", place("ab")).select(*cols, F.lit(False).alias("lead"), F.explode(every("hb")).alias("x"), "y")
+    more = scratch.save(homes.unionByName(others).groupBy("bucket", "x", "y").applyInArrow(lambda t: join_bucket(t, least), "u long, v long"))
+    comp = components(scratch, more.union(comp.select(F.col("id").alias("u"), F.col("component").alias("v"))))
     known = groups.select("id", "k1", "k2")
-    known = known.join(comp, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class_id")) if comp is not None else known.select("k1", "k2", F.col("id").alias("class_id"))
+    known = known.join(comp, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class_id"))
     done = keyed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id")
     return done.union(named.filter(~ok).select("doc_id", F.col("doc_id").alias("class_id")))
 
