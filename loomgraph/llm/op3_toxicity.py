@@ -29,27 +29,26 @@ BUCKETS = 20  # bits
 PREFIXES = (4, 5, 6)
 
 
-def terms_of(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of all terms of an Arrow string array; a term may come more than once."""
+def term_pieces(texts, most: int = 1 << 20):
+    """For pieces of an Arrow string array: first text, number of texts, and (text, bucket) of all terms.
+
+    A term may come more than once; texts count from the start of their piece.
+    """
     import pyarrow.compute as pc
 
     data, off = buffers(pc.utf8_lower(texts))
-    docs, terms = [], []
-    for i, j in slices(off, 1 << 22):
+    for i, j in slices(off, most):
         part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         h, doc, start, length = word_hashes(part, o)
-        docs.append(doc + i)
-        terms.append(h)
+        docs, terms = [doc], [h]
         for p in PREFIXES:
             long = np.flatnonzero(length > p)
             v = np.zeros(len(long), np.uint64)
             for k in range(p):
                 v = (v << np.uint64(8)) | part[start[long] + k]
-            docs.append(doc[long] + i)
+            docs.append(doc[long])
             terms.append(mix64(v + np.uint64(p << 56)))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(docs), (np.concatenate(terms) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        yield i, j - i, np.concatenate(docs), (np.concatenate(terms) >> np.uint64(64 - BUCKETS)).astype(np.int64)
 
 
 def distinct(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +75,12 @@ class Machine:
         return self.w0 + s[:, k + 1] + 0.5 * ((s[:, :k] ** 2).sum(1) - s[:, k])
 
     def score(self, texts) -> np.ndarray:
-        doc, term = terms_of(texts)
-        place = self.chosen[term]
-        hit = place >= 0
-        doc, place = distinct(doc[hit], place[hit])
-        return 1 / (1 + np.exp(-np.clip(self.logits(len(texts), doc, place), -30, 30)))
+        out = np.zeros(len(texts))
+        for i, n, doc, term in term_pieces(texts):
+            place = self.chosen[term]
+            hit = place >= 0
+            out[i : i + n] = self.logits(n, *distinct(doc[hit], place[hit]))
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Machine:
@@ -133,9 +133,10 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
             y = b.column(1).to_numpy().astype(np.int64)
             y = (y > 0).astype(np.int64)
             rows += np.bincount(y, minlength=2)
-            doc, term = distinct(*terms_of(b.column(0)))
-            for k in (0, 1):
-                n[k] += np.bincount(term[y[doc] == k], minlength=1 << BUCKETS)
+            for i, _, doc, term in term_pieces(b.column(0)):
+                doc, term = distinct(doc, term)
+                for k in (0, 1):
+                    n[k] += np.bincount(term[y[doc + i] == k], minlength=1 << BUCKETS)
         at = np.flatnonzero(n.sum(0) >= 1)
         at, n = np.append(at, -1), np.column_stack([n[:, at], rows])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0]), pa.array(n[1])], ["b", "n0", "n1"])
@@ -161,11 +162,12 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
         import pyarrow as pa
 
         for b in parts:
-            doc, term = terms_of(b.column(0))
-            place = chosen[term]
-            doc, place = distinct(doc[place >= 0], place[place >= 0])
-            cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            lists = [place[cut[i] : cut[i + 1]].astype(np.int32) for i in range(b.num_rows)]
+            lists = []
+            for _, n, doc, term in term_pieces(b.column(0)):
+                place = chosen[term]
+                doc, place = distinct(doc[place >= 0], place[place >= 0])
+                cut = np.searchsorted(doc, np.arange(n + 1))
+                lists += [place[cut[i] : cut[i + 1]].astype(np.int32) for i in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "places"])
 
     got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms

@@ -82,7 +82,7 @@ BITS, LOW = 20, (1 << 20) - 1  # of an id, and of a place in a word's tree
 
 
 class WordBPE:
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(vocabulary_path(path), encoding="utf-8") as f:
             j = json.load(f)
         m = j["model"]
