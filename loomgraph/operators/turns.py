@@ -8,12 +8,13 @@ from pyspark.sql import Window as W
 
 from loomgraph.functions.text import change_phrase, count_tokens, word_list
 
-BY = W.partitionBy("conv_id").orderBy("turn")
+def by_turn():
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def prev_assistant(turns: DataFrame) -> DataFrame:
     """Each user turn with the last assistant text before it."""
-    last = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, -1))
+    last = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(by_turn().rowsBetween(W.unboundedPreceding, -1))
     return turns.withColumn("prev_assistant", last).filter("role = 'user'")
 
 
@@ -25,7 +26,7 @@ def history_window(turns: DataFrame, last: int = 2) -> DataFrame:
 
 def hot_pairs(turns: DataFrame, pairs: int = 2, budget: int = 400) -> DataFrame:
     """Newest (user, assistant) pairs first, until one overflows the budget of tokens; none after that one."""
-    t = turns.withColumn("u_role", F.lag("role").over(BY)).withColumn("u_text", F.lag("text").over(BY))
+    t = turns.withColumn("u_role", F.lag("role").over(by_turn())).withColumn("u_text", F.lag("text").over(by_turn()))
     p = t.filter("role = 'assistant' and u_role = 'user'").withColumn("tokens", count_tokens(F.col("u_text")) + count_tokens(F.col("text")))
     back = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     p = p.withColumn("rank", F.row_number().over(back)).filter(F.col("rank") <= pairs)
@@ -42,7 +43,7 @@ def compaction_candidates(turns: DataFrame, hot: int = 2, threshold: int = 60) -
 
 def topic_change(turns: DataFrame) -> DataFrame:
     """First level: a phrase means changed (confidence 1), no topic yet too, fewer than five words the same (0.9), else undecided."""
-    phrase, first = change_phrase(F.col("text")), F.row_number().over(BY) == 1
+    phrase, first = change_phrase(F.col("text")), F.row_number().over(by_turn()) == 1
     verdict = F.when(phrase != "", "changed").when(first, "changed").when(F.size(word_list(F.col("text"))) < 5, "same").otherwise("undecided")
     confidence = F.when((phrase != "") | first, 1.0).when(F.size(word_list(F.col("text"))) < 5, 0.9).otherwise(0.0)
     return turns.select("conv_id", "turn", phrase.alias("phrase"), verdict.alias("verdict"), confidence.alias("confidence"))
@@ -50,13 +51,13 @@ def topic_change(turns: DataFrame) -> DataFrame:
 
 def carry_topic(turns: DataFrame, topic) -> DataFrame:
     """The topic of the latest turn that set one."""
-    return turns.withColumn("topic", F.last(topic, ignorenulls=True).over(BY.rowsBetween(W.unboundedPreceding, 0)))
+    return turns.withColumn("topic", F.last(topic, ignorenulls=True).over(by_turn().rowsBetween(W.unboundedPreceding, 0)))
 
 
 def turn_metrics(turns: DataFrame) -> DataFrame:
     """For each user turn: its tokens, those of all turns before it, and whether there were any."""
     t = turns.withColumn("tokens", count_tokens(F.col("text")))
-    t = t.withColumn("history_tokens", F.coalesce(F.sum("tokens").over(BY.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    t = t.withColumn("history_tokens", F.coalesce(F.sum("tokens").over(by_turn().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return t.filter("role = 'user'").select("conv_id", "turn", "tokens", "history_tokens", (F.col("history_tokens") > 0).alias("context_hit"))
 
 
