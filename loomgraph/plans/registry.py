@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomgraph.functions import text as X
 from loomgraph.operators import chunks as C
+from loomgraph.operators import context as K
+from loomgraph.operators import extract as X_
 from loomgraph.operators import graph as G
 from loomgraph.operators import rank as R
 from loomgraph.operators import turns as T
+from loomgraph.streaming import turns as S_
 
 from . import derived as D
 
@@ -443,3 +447,71 @@ SELECT e.k, round(len(list_intersect(expected, coalesce(actual, [])))::DOUBLE /
 def recall_accuracy(s, d):
     o = t(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("e"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("a"))
     return o.select("k", F.round(F.size(F.array_intersect("e", "a")) / F.size("e"), 6).alias("recall"))
+
+
+# ------------------------------------------------------------------ extraction, context, incremental indexing
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(text, 'the') THEN '[context] ' || role ELSE text || chr(10) || chr(10) || '[context] ' || role END AS system
+FROM (SELECT conv_id, turn, role, CASE WHEN contains(text, 'the') THEN '[context] ' || role ELSE text END AS text0, text FROM conversations)""")
+def system_message_compose(s, d):
+    text = F.when(F.contains("text", F.lit("the")), F.concat(F.lit("[context] "), "role")).otherwise(F.col("text"))
+    return conv(s, d).select("conv_id", "turn", K.compose_system(text, F.col("role")).alias("system"))
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn DESC) AS r FROM conversations)
+SELECT conv_id, concat_ws(chr(10), string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system'), 'system: warm',
+string_agg(role || ': ' || text, chr(10) ORDER BY turn) FILTER (WHERE role <> 'system' AND r <= 2)) AS messages FROM m GROUP BY conv_id""")
+def context_stack(s, d):
+    return K.stack(conv(s, d), F.lit("warm"))
+
+
+@query(f"""WITH {N}, {P}, {B}, f AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY seq, dst) AS rank FROM both_),
+g AS (SELECT src, string_agg('Near: ' || label, ', ' ORDER BY rank) AS r FROM f JOIN nodes ON dst = id WHERE rank <= 3 GROUP BY src)
+SELECT id, label || ' [' || type || ']' || CASE WHEN r IS NULL THEN '' ELSE ' - ' || r END AS line FROM nodes LEFT JOIN g ON src = id""")
+def hot_lines(s, d):
+    n = D.nodes(s, d)
+    e = G.undirected(D.edges(s, d, uses=False)).withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("seq", "dst"))).filter("rank <= 3")
+    r = e.join(n.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: F.concat(F.lit("Near: "), x["label"])), ", ").alias("r"))
+    j = n.join(r, "id", "left")
+    return j.select("id", K.node_line(F.col("label"), F.col("type"), F.coalesce("r", F.lit("")), F.array().cast("array<string>")).alias("line"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, text, [split_part(text, ' ', 1), split_part(text, ' ', 2), 'zebra'] AS e FROM conversations)
+SELECT conv_id, turn, list_filter(e, lambda w: contains(lower(text), lower(w))) AS entities FROM x""")
+def s1_grounded_entities(s, d):
+    w = F.split("text", " ")
+    e = F.array(w[0], F.coalesce(F.get(w, 1), F.lit("")), F.lit("zebra"))
+    return conv(s, d).select("conv_id", "turn", X_.grounded(e, F.col("text")).alias("entities"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS node_id, 'The fact of ' || c_nationkey AS fact, c_custkey AS seq FROM customer), n AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey % 2 = 0 THEN 'fact ' || c_nationkey ELSE 'a new one' END AS fact, c_custkey AS seq FROM customer)
+SELECT * FROM f UNION ALL SELECT * FROM n WHERE node_id % 2 = 1""")
+def import_merge_facts(s, d):
+    c = t(s, d, "customer")
+    old = c.select(F.col("c_custkey").alias("node_id"), F.concat(F.lit("The fact of "), "c_nationkey").alias("fact"), F.col("c_custkey").alias("seq"))
+    new = c.select(F.col("c_custkey").alias("node_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("fact "), "c_nationkey")).otherwise("a new one").alias("fact"), F.col("c_custkey").alias("seq"))
+    return G.merged_facts(old, new, X.dedup_form)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def incremental_changed_files(s, d):
+    """Files whose content hash is not the stored one: the anti-join runs before any parsing."""
+    docs = t(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    stored = docs.filter("doc_id % 3 = 0")
+    return docs.join(stored, ["doc_id", "hash"], "left_anti").select("doc_id")
+
+
+@query("SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(s, d):
+    return S_.windowed_counts(t(s, d, "events"))
+
+
+@query(f"""WITH {N}, q AS (SELECT i, list_distinct(string_split(lower(text), ' ')) AS w FROM (VALUES (0, 'nation_1 and nation_2'), (1, 'customer_5')) AS q(i, text)),
+x AS (SELECT i, id, seq, round(len(list_intersect(w, [lower(label)]))::DOUBLE / len(list_distinct(list_append(w, lower(label)))), 6) AS score FROM q, nodes WHERE type <> 'Product'),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, seq) AS INTEGER) AS rank FROM x WHERE score > 0) SELECT i, id, score, rank FROM r WHERE rank <= 20""")
+def graph_summary_top20(s, d):
+    q = s.createDataFrame([(0, "nation_1 and nation_2"), (1, "customer_5")], "i int, text string").select("i", F.split(F.lower("text"), " ").alias("w"))
+    n = D.nodes(s, d).filter("type <> 'Product'")
+    x = n.join(F.broadcast(q)).withColumn("score", F.round(X.jaccard(F.col("w"), F.array(F.lower("label"))), 6)).filter("score > 0")
+    return x.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "seq"))).filter("rank <= 20").select("i", "id", "score", "rank")
