@@ -12,6 +12,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import chunks as C
 from loomgraph.operators import context as K
 from loomgraph.operators import extract as X_
+from loomgraph.operators import facts as FA
 from loomgraph.operators import graph as G
 from loomgraph.operators import rank as R
 from loomgraph.operators import turns as T
@@ -515,3 +516,25 @@ def graph_summary_top20(s, d):
     n = D.nodes(s, d).filter("type <> 'Product'")
     x = n.join(F.broadcast(q)).withColumn("score", F.round(X.jaccard(F.col("w"), F.array(F.lower("label"))), 6)).filter("score > 0")
     return x.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "seq"))).filter("rank <= 20").select("i", "id", "score", "rank")
+
+
+@query()
+def fact_near_dup_fold(s, d):
+    return FA.distinct_facts(conv(s, d).select(F.col("conv_id").alias("node_id"), F.col("text").alias("fact"), F.col("turn").alias("seq")))
+
+
+@query()
+def prose_clusters(s, d):
+    return FA.prose_clusters(t(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+
+
+@query("""WITH n AS (SELECT 'customer_' || c_custkey AS id, c_name AS label, 'Organization' AS type FROM customer WHERE c_custkey % 2 = 0),
+e AS (SELECT DISTINCT 'customer_' || o_custkey AS id, 'C' || o_custkey AS label, CASE WHEN o_custkey % 5 = 0 THEN 'Odd' ELSE 'Place' END AS type FROM orders)
+SELECT coalesce(n.id, e.id) AS id, coalesce(n.label, e.label) AS label, CASE WHEN n.id IS NOT NULL THEN n.type WHEN e.type = 'Odd' THEN 'Unknown' ELSE e.type END AS type,
+CASE WHEN n.id IS NOT NULL THEN 'complete' WHEN e.type = 'Odd' THEN 'incomplete' ELSE 'complete' END AS status,
+CASE WHEN n.id IS NOT NULL THEN 't0' ELSE 't1' END AS created_at, CASE WHEN e.id IS NOT NULL THEN 't1' ELSE 't0' END AS last_active,
+CAST((n.id IS NOT NULL)::INT + (e.id IS NOT NULL)::INT AS INTEGER) AS session_count FROM n FULL JOIN e ON n.id = e.id""")
+def upsert_entities(s, d):
+    n = t(s, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("Organization").alias("type"), F.lit("complete").alias("status"), F.lit("t0").alias("created_at"), F.lit("t0").alias("last_active"), F.lit(1).alias("session_count"))
+    e = t(s, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("label"), F.when(F.col("o_custkey") % 5 == 0, "Odd").otherwise("Place").alias("type")).distinct()
+    return FA.upsert_entities(n, e, "t1", ["Place", "Organization"])
