@@ -121,9 +121,12 @@ def remove_nodes(nodes: DataFrame, edges: DataFrame, ids: list[str]) -> tuple[Da
 
 
 def seeds(turns: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes whose label (3 letters or more) occurs in a turn's text.  nodes is a bounded set of labels to look for."""
-    n = nodes.filter(F.length("label") >= 3).select("id", F.lower("label").alias("__l"))
-    return turns.join(F.broadcast(n), F.contains(F.lower("text"), F.col("__l")))
+    """Nodes whose label (3 letters or more) occurs in a turn's text; see activation.containing."""
+    from .activation import containing
+
+    texts = turns.select(F.xxhash64("text").alias("text_id"), "text").distinct()
+    hit = containing(texts, nodes).join(texts, "text_id").select("text", "id")
+    return turns.join(hit, "text").join(nodes, "id")
 
 
 def merged_facts(facts: DataFrame, new: DataFrame, form) -> DataFrame:

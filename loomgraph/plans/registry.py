@@ -19,20 +19,7 @@ from loomgraph.operators import turns as T
 from loomgraph.streaming import turns as S_
 
 from . import derived as D
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .base import QUERIES, SQL, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
@@ -156,11 +143,11 @@ def import_merge(s, d):
     return G.imported_edges(e, new).select("source", "target", "relation", "seq")
 
 
-@query("""WITH q AS (SELECT DISTINCT 'how many ' || p_name || ' in ' || n_name AS text FROM part, nation WHERE p_partkey <= 20), n AS (SELECT 'nation_' || n_nationkey AS id, n_name AS label FROM nation)
+@query("""WITH q AS (SELECT DISTINCT 'how many ' || p_name || ' in ' || n_name AS text FROM part, nation), n AS (SELECT 'nation_' || n_nationkey AS id, n_name AS label FROM nation)
 SELECT text, id FROM q, n WHERE length(label) >= 3 AND contains(lower(text), lower(label))""")
 def seed_selection(s, d):
     nation = t(s, d, "nation")
-    q = t(s, d, "part").filter("p_partkey <= 20").select("p_name").distinct().join(F.broadcast(nation.select("n_name")))
+    q = t(s, d, "part").select("p_name").distinct().join(F.broadcast(nation.select("n_name")))
     q = q.select(F.concat(F.lit("how many "), "p_name", F.lit(" in "), "n_name").alias("text")).distinct()
     return G.seeds(q, nation.select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.col("n_name").alias("label"))).select("text", "id")
 
@@ -338,18 +325,18 @@ def html_titles(s, d):
 COS = "round(list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(v.embedding, lambda x: x::DOUBLE)), 6)"
 
 
-@query(f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, {COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id < 8),
+@query(f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, {COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM r) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 5""")
 def cosine_topk(s, d):
     e = t(s, d, "embeddings")
-    return R.top_vectors(e.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", "embedding"))
+    return R.top_vectors(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", "embedding"))
 
 
-@query(f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, round(least({COS[6:-4]} + 0.15, 1.0), 6) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id < 8),
+@query(f"""WITH r AS (SELECT q.vec_id AS query_id, v.vec_id, round(least({COS[6:-4]} + 0.15, 1.0), 6) AS score FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM r) SELECT query_id, vec_id, score, rank FROM k WHERE rank <= 3""")
 def scoped_cosine_top3_boost(s, d):
     e = t(s, d, "embeddings")
-    return R.scoped_top(e.filter("vec_id < 8").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")), e, "label")
+    return R.scoped_top(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q")), e, "label")
 
 
 @query("""WITH RECURSIVE i AS (SELECT o_custkey AS g, o_orderkey AS id, CAST(o_orderkey % 90 + 1 AS BIGINT) AS tk, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 13 DESC, o_orderkey) AS k FROM orders),
@@ -538,3 +525,6 @@ def upsert_entities(s, d):
     n = t(s, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("Organization").alias("type"), F.lit("complete").alias("status"), F.lit("t0").alias("created_at"), F.lit("t0").alias("last_active"), F.lit(1).alias("session_count"))
     e = t(s, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("label"), F.when(F.col("o_custkey") % 5 == 0, "Odd").otherwise("Place").alias("type")).distinct()
     return FA.upsert_entities(n, e, "t1", ["Place", "Organization"])
+
+
+from . import structure_queries  # noqa: E402, F401

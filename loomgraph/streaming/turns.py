@@ -42,3 +42,29 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     """Counts of each tool in tumbling windows, with a watermark."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
     return e.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def topic_state(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, topic: the topic in force at each turn of a stream of turns(conv_id, turn, topic); null leaves it as it was.
+
+    The state of a conversation is its topic; turns of one batch are taken in order.
+    """
+
+    def step(key, parts: Iterator, state):
+        import pandas as pd
+
+        topic = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("turn", kind="stable")
+        out = []
+        for t, set_ in zip(rows["turn"], rows["topic"], strict=True):
+            topic = topic if set_ is None or set_ != set_ else set_
+            out.append(topic)
+        state.update((topic,))
+        yield pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "topic": out})
+
+    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, topic string", "topic string", "append", "NoTimeout")
+
+
+def session_totals(metrics: DataFrame) -> DataFrame:
+    """Running totals of each session, for streams in update or complete mode and for tables."""
+    return metrics.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("tokens").alias("tokens"), F.max("turn").alias("last_turn"))
