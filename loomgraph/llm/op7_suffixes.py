@@ -17,6 +17,13 @@ one shard.  Consecutive starts with one minimizer form a run of at most 35, whos
 
 Hashes that name a slice have over 96 bits.  Shards hold about ``shard_runs`` runs.
 
+Frequent passages and minimizers.  Before the shuffle each batch of documents keeps, of every slice, the runs of
+its smallest document only; those of its later documents are marked there and travel as marks, dealt evenly.  A
+minimizer that has a shard's worth of different slices, by its share of a batch, is spread: its slices go by their
+names, and a token tells the minimizer's own shard, where batches that saw few of them sent theirs.  All first
+slices of such a minimizer, and of one that fills a shard by itself, are asked for, and step 2 deals their starts one by
+one, by a hash of the 50 bytes; equal strings still meet.
+
 Defined cases: a null text is empty; texts under 50 bytes stay; rows with a null doc_id stay and remove
 nothing; of rows that repeat a doc_id each is treated as that document (they do not remove one
 another); an empty table gives an empty result; texts of any length are taken whole; other columns pass through.
@@ -24,6 +31,8 @@ another); an empty table gives an empty result; texts of any length are taken wh
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,44 +107,72 @@ def texts_runs(texts, span: int, gram: int):
         yield part, o, i, runs_of(part, o, span, gram)
 
 
-def first_reduce(blobs):
-    """Rows (doc, ask, run numbers, masks) of one shard."""
-    import pyarrow as pa
+# what a blob of the first shuffle holds: runs by minimizer, runs of a spread minimizer by name, marks, tokens
+PLAIN, SPREAD, MARKED, TOKEN = range(4)
+# what a row of marks asks for: nothing (it is a mask), the slices, the slices start by start
+MASK, ASK, ASK_STARTS = range(3)
+
+
+def batch_firsts(ids, name, low):
+    """Which runs belong to the smallest document of their batch that has their slice."""
+    o = np.argsort(name, kind="stable")
+    new = np.append(True, (name[o][1:] != name[o][:-1]) | (low[o][1:] != low[o][:-1])) if len(o) else np.zeros(0, bool)
+    cut = np.flatnonzero(new)
+    least = np.minimum.reduceat(ids[o], cut) if len(cut) else ids
+    first = np.ones(len(o), bool)
+    first[o] = ids[o] == np.repeat(least, np.diff(np.append(cut, len(o))))
+    return first
+
 
-    keys, names, docs, runs, counts = [], [], [], [], []
+def full_mask(count):
+    return (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
+
+
+def first_reduce(blobs, shard_runs: int):
+    """Rows (doc, ask, run numbers, masks) of one shard."""
+    got = {k: [[], [], [], [], []] for k in range(4)}
     for b in blobs.to_pylist():
-        keys.append(np.frombuffer(b["keys"], np.uint32))
-        names.append(np.frombuffer(b["names"], np.uint64))
-        docs.append(np.repeat(np.frombuffer(b["docs"], np.int64), np.frombuffer(b["per"], np.uint32)))
-        runs.append(np.frombuffer(b["runs"], np.uint32))
-        counts.append(np.frombuffer(b["counts"], np.uint8))
-    key, name, doc, run, count = (np.concatenate(x) for x in (keys, names, docs, runs, counts))
-    o = np.lexsort((doc, name, key))
-    key, name, doc, run, count = key[o], name[o], doc[o], run[o], count[o]
-    new_key = np.append(True, key[1:] != key[:-1])
-    new = new_key | np.append(True, name[1:] != name[:-1])
-    at = np.cumsum(new) - 1
-    least = doc[new][at]
-    later = doc > least
-    kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))
-    asked = ~later & (kinds[np.cumsum(new_key) - 1] > 1)
-    mask = np.where(later, (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1), np.uint64(0))
-    take = np.flatnonzero(later | asked)
-    doc, run, mask, asked = doc[take], run[take], mask[take], asked[take]
-    o = np.lexsort((run, asked, doc))
-    return packed(doc[o], run[o], mask[o], asked[o])
-
-
-def packed(doc, run, mask, asked):
+        docs = np.repeat(np.frombuffer(b["docs"], np.int64), np.frombuffer(b["per"], np.uint32))
+        columns = np.frombuffer(b["keys"], np.uint32), np.frombuffer(b["names"], np.uint64), docs, np.frombuffer(b["runs"], np.uint32), np.frombuffer(b["counts"], np.uint8)
+        for x, y in zip(got[b["kind"]], columns, strict=True):
+            x.append(y)
+    joined = {k: [np.concatenate(x) for x in v] for k, v in got.items() if v[0]}
+    tokens = np.unique(joined[TOKEN][0]) if TOKEN in joined else np.zeros(0, np.uint32)
+    out = []
+    if MARKED in joined:
+        _, _, doc, run, count = joined[MARKED]
+        out.append((doc, run, full_mask(count), np.full(len(doc), MASK)))
+    for kind in (PLAIN, SPREAD):
+        if kind not in joined:
+            continue
+        key, name, doc, run, count = joined[kind]
+        o = np.lexsort((doc, name, key))
+        key, name, doc, run, count = key[o], name[o], doc[o], run[o], count[o]
+        new_key = np.append(True, key[1:] != key[:-1])
+        new = new_key | np.append(True, name[1:] != name[:-1])
+        later = doc > doc[new][np.cumsum(new) - 1]
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
+        spread = (kinds >= shard_runs) | np.isin(key, tokens) | (kind == SPREAD)
+        ask = np.where(later, MASK, np.where(spread, ASK_STARTS, ASK))
+        take = later | spread | (kinds > 1)
+        out.append((doc[take], run[take], np.where(later, full_mask(count), np.uint64(0))[take], ask[take]))
+    if not out:
+        return packed(*(np.zeros(0, t) for t in (np.int64, np.uint32, np.uint64, np.int64)))
+    doc, run, mask, ask = (np.concatenate(x) for x in zip(*out, strict=True))
+    o = np.lexsort((run, ask, doc))
+    return packed(doc[o], run[o], mask[o], ask[o])
+
+
+def packed(doc, run, mask, ask):
     import pyarrow as pa
 
-    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (asked[1:] != asked[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (ask[1:] != ask[:-1]))) if len(doc) else np.zeros(0, np.int64)
     end = np.append(cut[1:], len(doc)) if len(cut) else cut
     r, m = run.astype(np.uint32), mask.astype(np.uint64)
     return pa.table(
         {
             "doc": pa.array(doc[cut], pa.int64()),
-            "ask": pa.array(asked[cut], pa.bool_()),
+            "ask": pa.array(ask[cut], pa.int32()),
             "runs": pa.array([r[i:j].tobytes() for i, j in zip(cut, end, strict=True)], pa.binary()),
             "masks": pa.array([m[i:j].tobytes() for i, j in zip(cut, end, strict=True)], pa.binary()),
         }
@@ -143,11 +180,15 @@ def packed(doc, run, mask, asked):
 
 
 def suffix_reduce(rows, span: int):
-    """Masks for the asked runs of one shard, by suffix order and previous smaller documents."""
+    """Masks for the asked runs of one shard, by suffix order and previous smaller documents.
+
+    ``at`` is the number of the first start within its run that a row holds.
+    """
     import pyarrow as pa
 
     docs = rows.column("doc").to_numpy()
     runs = rows.column("run").to_numpy()
+    begin = rows.column("at").to_numpy()
     col = rows.column("bytes").combine_chunks()
     _, off, data = (col if isinstance(col, pa.Array) else col.chunk(0)).buffers()
     base = col.offset if isinstance(col, pa.Array) else col.chunk(0).offset
@@ -175,15 +216,17 @@ def suffix_reduce(rows, span: int):
     smallest = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
     gone = np.zeros(len(order), bool)
     gone[order] = doc[order] > smallest
-    bits = np.where(gone, np.uint64(1) << within.astype(np.uint64), np.uint64(0))
+    bits = np.where(gone, np.uint64(1) << (begin[row] + within).astype(np.uint64), np.uint64(0))
     first = np.cumsum(count) - count
     mask = np.bitwise_or.reduceat(bits, first) if len(first) else np.zeros(0, np.uint64)
     hit = np.flatnonzero(mask)
     o = hit[np.lexsort((runs[hit], docs[hit]))]
-    return packed(docs[o], runs[o], mask[o], np.zeros(len(o), bool))
+    return packed(docs[o], runs[o], mask[o], np.full(len(o), MASK))
 
 
-MARKS = "doc long, ask boolean, runs binary, masks binary"
+MARKS = "doc long, ask int, runs binary, masks binary"
+BLOB = ["keys", "names", "docs", "per", "runs", "counts"]
+MARK_RUNS = 50_000
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: int = 20, shard_runs: int = 250_000) -> DataFrame:
@@ -204,25 +247,45 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: i
             if not got[0]:
                 continue
             doc, run, count, low, name = (np.concatenate(x) for x in got)
+            key = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             shard = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            o = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[o], np.arange(shards + 1))
-            out = {k: [] for k in ("shard", "keys", "names", "docs", "per", "runs", "counts")}
-            for s in np.flatnonzero(np.diff(cut)):
-                w = o[cut[s] : cut[s + 1]]
+            first = batch_firsts(ids[doc], name, low)
+            kind = np.where(first, PLAIN, MARKED)
+            # marks of the batch: dealt in pieces, whatever their minimizer
+            marked = np.flatnonzero(~first)
+            shard[marked] = (int(name[0] % np.uint64(shards)) + np.arange(len(marked)) // MARK_RUNS) % shards
+            # minimizers with a shard's worth of slices by their share of this batch
+            of = np.flatnonzero(first)
+            seen, back, n = np.unique(low[of], return_inverse=True, return_counts=True)
+            many = n >= max(4, 2 * len(low) / shards)
+            tokens = seen[many]
+            spread = of[many[back]]
+            kind[spread] = SPREAD
+            shard[spread] = (mix64(name[spread]) % np.uint64(shards)).astype(np.int64)
+            out = {k: [] for k in ("shard", "kind", *BLOB)}
+
+            def put(s, k, w, out=out, key=key, name=name, doc=doc, run=run, count=count):
                 d, per = np.unique(doc[w], return_counts=True)
-                out["shard"].append(int(s))
-                out["keys"].append((low[w] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                out["names"].append(name[w].tobytes())
-                out["docs"].append(ids[d].tobytes())
-                out["per"].append(per.astype(np.uint32).tobytes())
-                out["runs"].append(run[w].tobytes())
-                out["counts"].append(count[w].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("keys", "names", "docs", "per", "runs", "counts")]], list(out))
-
-    blobs = src.mapInArrow(send, "shard int, keys binary, names binary, docs binary, per binary, runs binary, counts binary")
-    marks = scratch.save(blobs.groupBy("shard").applyInArrow(first_reduce, MARKS))
-    asks = marks.filter("ask").groupBy("doc").agg(F.collect_list("runs").alias("runs"))
+                named = k != MARKED
+                for c, x in zip(out, (int(s), int(k), key[w] if named else key[:0], name[w] if named else name[:0], ids[d], per.astype(np.uint32), run[w], count[w]), strict=True):
+                    out[c].append(x if isinstance(x, int) else x.tobytes())
+
+            group = shard * 4 + kind
+            o = np.argsort(group, kind="stable")
+            cut = np.flatnonzero(np.append(True, group[o][1:] != group[o][:-1]))
+            for i, j in zip(cut, np.append(cut[1:], len(o)), strict=True):
+                put(group[o[i]] // 4, group[o[i]] % 4, o[i:j])
+            for t in tokens:
+                out["shard"].append(int((t >> np.uint64(32)) % np.uint64(shards)))
+                out["kind"].append(TOKEN)
+                out["keys"].append(np.uint32(t & np.uint64(0xFFFFFFFF)).tobytes())
+                for c in BLOB[1:]:
+                    out[c].append(b"")
+            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["kind"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in BLOB]], list(out))
+
+    blobs = src.mapInArrow(send, "shard int, kind int, " + ", ".join(f"{k} binary" for k in BLOB))
+    marks = scratch.save(blobs.groupBy("shard").applyInArrow(lambda t: first_reduce(t, shard_runs), MARKS))
+    asks = marks.filter(F.col("ask") > MASK).groupBy("doc").agg(F.collect_list(F.struct("runs", (F.col("ask") == ASK_STARTS).alias("each"))).alias("runs"))
 
     def answer(parts):
         import pyarrow as pa
@@ -232,19 +295,30 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: i
             asked = b.column(2)
             for part, _, i, (doc, first, count, low, _) in texts_runs(b.column(1), span, gram):
                 begin = np.searchsorted(doc, np.arange(doc[-1] + 2)) if len(doc) else [0, 0]
-                pick = [begin[d] + np.frombuffer(x, np.uint32) for d in range(len(begin) - 1) for x in asked[i + d].as_py()]
-                if not pick:
+                want = [(d, x) for d in range(len(begin) - 1) for x in asked[i + d].as_py()]
+                if not want:
                     continue
-                pick = np.concatenate(pick)
+                picks = [begin[d] + np.frombuffer(x["runs"], np.uint32) for d, x in want]
+                each = np.repeat([x["each"] for _, x in want], [len(p) for p in picks])
+                pick = np.concatenate(picks)
                 raw = part.tobytes()
-                shard = ((low[pick] >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
-                texts = [raw[f : f + c + span - 1] for f, c in zip(first[pick].tolist(), count[pick].tolist(), strict=True)]
-                run = (pick - np.asarray(begin)[doc[pick]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids[doc[pick] + i]), pa.array(run), pa.array(texts, pa.binary())], ["shard", "doc", "run", "bytes"])
-
-    slices_ = src.join(asks, "doc").mapInArrow(answer, "shard int, doc long, run int, bytes binary")
+                shard = (low[pick] >> np.uint64(32)) % np.uint64(shards)
+                # whole slices, and the starts of spread ones
+                n = np.where(each, count[pick], 1)
+                row = np.repeat(np.arange(len(pick)), n)
+                start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                begins = first[pick][row] + start
+                texts = [raw[f : f + c + span - 1] for f, c in zip(begins.tolist(), np.where(each, 1, count[pick])[row].tolist(), strict=True)]
+                to = shard[row]
+                alone = np.flatnonzero(each[row])
+                to[alone] = [zlib.crc32(texts[k]) for k in alone]
+                to %= np.uint64(shards)
+                run = (pick - np.asarray(begin)[doc[pick]])[row].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(ids[doc[pick] + i][row]), pa.array(run), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary())], ["shard", "doc", "run", "at", "bytes"])
+
+    slices_ = src.join(asks, "doc").mapInArrow(answer, "shard int, doc long, run int, at int, bytes binary")
     more = scratch.save(slices_.groupBy("shard").applyInArrow(lambda t: suffix_reduce(t, span), MARKS))
-    cuts = marks.filter("not ask").unionByName(more).groupBy(F.col("doc").alias("__lg_id")).agg(F.collect_list(F.struct("runs", "masks")).alias("__lg_marks"))
+    cuts = marks.filter(F.col("ask") == MASK).unionByName(more).groupBy(F.col("doc").alias("__lg_id")).agg(F.collect_list(F.struct("runs", "masks")).alias("__lg_marks"))
     own, at = docs.columns, docs.columns.index("text")
     joined = docs.withColumn("__lg_id", F.col("doc_id").cast("long")).join(cuts, "__lg_id", "left").select(*[F.col(f"`{c}`") for c in own], "__lg_marks")
     stats = T.StructType([T.StructField(k, T.LongType()) for k in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])

@@ -97,13 +97,12 @@ def test_dart_estimate():
     assert abs((sig[0] == sig[1]).mean() - op4_neardup.similarity(a[o], w[o], b[p], w[p])) < 0.05
 
 
-def test_repeats(docs, none, rows, spark):
-    first, span = {}, 50
+def kept_by_brute_force(rows, span=50):
+    first, want = {}, {}
     for i, t, *_ in rows:
         b = (t or "").encode()
         for k in range(len(b) - span + 1 if i is not None else 0):
             first[b[k : k + span]] = min(i, first.get(b[k : k + span], i))
-    want = {}
     for i, t, *_ in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -111,11 +110,32 @@ def test_repeats(docs, none, rows, spark):
             if first[b[k : k + span]] < i:
                 gone[k : k + span] = b"\1" * span
         want[i] = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+    return want
+
+
+def test_repeats(docs, none, rows, spark):
     got = {r["doc_id"]: bytes(r["__lg_cut"]["kept"]) for r in op7_suffixes.remove_repeats(docs, Scratch(spark), shard_runs=50).collect()}
-    assert got == want
+    assert got == kept_by_brute_force(rows)
     assert op7_suffixes.remove_repeats(none, Scratch(spark)).count() == 0
 
 
+@pytest.mark.parametrize("batch", ["7", "10000"])
+@pytest.mark.parametrize("shard_runs", [3, 30, 250_000])
+def test_frequent_passages(spark, batch, shard_runs):
+    """One phrase in all texts, in few and in many surroundings, over batches that see much or little of it."""
+    rng = np.random.default_rng(5)
+    phrase, near = "the quick brown fox jumps over", ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(6)]
+    rows = [(int(i), near[rng.integers(6)] + phrase + (near[rng.integers(6)] if i % 3 else str(i) * 30) + phrase * (i % 2)) for i in rng.permutation(150)]
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, batch)
+    try:
+        out = op7_suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), shard_runs=shard_runs).collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert {r["doc_id"]: bytes(r["__lg_cut"]["kept"]) for r in out} == kept_by_brute_force(rows)
+
+
 def test_bpe(docs, none, rows):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(op6_bpe.vocabulary_path(op6_bpe.VOCABULARY))
