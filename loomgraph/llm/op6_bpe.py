@@ -6,6 +6,9 @@ the ranks of adjacent pairs: its root names the leftmost pair of the lowest rank
 leaves, each with a logarithmic path to the root; it ends when no pair has a rank.  Decoding joins the
 tokens with spaces, as a tokenizer without a decoder does.
 
+Letters, numbers and lower case go by Python's Unicode data; texts with characters that the library's Unicode
+version treats otherwise are split by its own normalizer and pre-tokenizer.  Merging is the same for all.
+
 Words are merged once and kept in a dictionary of bounded size per Python worker.
 
 Defined cases: a null text is encoded as an empty one, no tokens; texts may have any length; repeated
@@ -77,6 +80,20 @@ def latin(text: str) -> bool:
     return True
 
 
+def splitter(j: dict):
+    """The library's normalizer and pre-tokenizer of a tokenizer's JSON, without its vocabulary: text to words."""
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer.from_str(json.dumps(j | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "decoder": None}))
+    byte = {s: b for b, s in enumerate(byte_symbols())}
+
+    def split(text: str) -> list[str]:
+        got = bare.pre_tokenizer.pre_tokenize_str(bare.normalizer.normalize_str(text))
+        return [bytes(map(byte.__getitem__, x)).decode() for x, _ in got]
+
+    return split
+
+
 SPACE = "\t-\r \x85\xa0  -     　"  # Unicode's White_Space
 BITS, LOW = 20, (1 << 20) - 1  # of an id, and of a place in a word's tree
 
@@ -100,6 +117,9 @@ class WordBPE:
         self.last = [self.vocab[s + self.suffix] for s in symbols]
         wide, narrow = (word_pattern(most).findall for most in (sys.maxunicode, 0xFF))
         self.words = lambda text: (narrow if latin(text) else wide)(text)
+        self.outside = splitter(j)
+        self.tried: set[str] = set()
+        self.odd: set[str] = set()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         bpe = self
 
@@ -187,15 +207,31 @@ class WordBPE:
             text = text.replace("Σ", "σ")
         return text.lower()
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text.
+
+        Unicode versions differ: each character beyond U+00FF is tried once against the library, and texts
+        with one that it treats otherwise are split by it.
+        """
+        if not latin(text):
+            for c in set(text) - self.tried:
+                self.tried.add(c)
+                trial = f"a{c}{c}0 {c}"
+                if self.words(self.normal(trial)) != self.outside(trial):
+                    self.odd.add(c)
+            if not self.odd.isdisjoint(text):
+                return self.outside(text)
+        return self.words(self.normal(text))
+
     def pieces(self, text: str) -> list[tuple[bytes, str]]:
         if self.cut is None or not any(a in text for a in self.added):
-            return list(map(self.known.__getitem__, self.words(self.normal(text))))
+            return list(map(self.known.__getitem__, self.split(text)))
         out = []
         for part in self.cut.split(text):
             if part in self.added:
                 out.append(self.packed([self.added[part]]))
             elif part:
-                out += map(self.known.__getitem__, self.words(self.normal(part)))
+                out += map(self.known.__getitem__, self.split(part))
         return out
 
     def encode(self, text: str | None) -> tuple[bytes, str]:

@@ -141,6 +141,7 @@ def test_bpe(docs, none, rows):
     lib = tokenizers.Tokenizer.from_file(op6_bpe.vocabulary_path(op6_bpe.VOCABULARY))
     own = op6_bpe.loaded(op6_bpe.VOCABULARY)
     extra = ["Σας ΣΣ'S don't I'LL <|endoftext|>x ÀÉ²½Ⅷ ١٢ ﬁ é İ\x1c\x85​　d 😀", "x" * 3000, " \t\n"]
+    extra += ["".join(f"a{c}{c}7 {c}" for c in map(chr, range(k, k + 64))) for k in (0xA7C0, 0x10D40, 0x1C80, 0x2EBF0, 0x11BC0)]  # of newer Unicode versions
     for t in [r[1] or "" for r in rows] + extra:
         e = lib.encode(t, add_special_tokens=False)
         ids, decoded = own.encode(t)
