@@ -5,8 +5,11 @@ text is the set of its buckets.  The machine scores w0 + sum of w_i + sum over p
 two harmless terms can be toxic together, and is trained by Adam on the logistic loss.
 
 Learning uses a bounded sample of labelled rows: at most about ``most_rows`` (default 12,000), taken in the
-order of a hash.  From counts over the sample the ``terms`` buckets (default 4,096) whose frequencies
-differ most between the classes are chosen, the others carry no weight.
+order of a hash.  Terms carry weight for either of two reasons, the others do not:
+alone, up to ``terms`` buckets (default 4,096) in at least 3 rows whose frequencies differ most between the classes, by
+4 standard errors or more; or together, up to ``terms`` more buckets of the pairs whose rows are toxic, or clean, beyond what a machine over the
+former terms foresees from the other half of the sample.  Pairs are counted exactly among the ``screened`` buckets (default 8,192) in most rows; one counts if
+chance would not give its deviance once among so many pairs.  Pairs with a rarer term that is not chosen alone go unseen.
 
 Defined cases: a null or empty text has no terms and gets the machine's constant; without labelled rows, or with
 one class only, all texts get the base rate (0 without rows); null labels are not learned; of rows that repeat a
@@ -114,7 +117,68 @@ def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place:
     return m
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096) -> Machine | float:
+def foreseen(y: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """Each row's probability by a machine that learned the other half of the rows; never nearer to 0 or 1 than an eighth of the base rates."""
+    out, half = np.zeros(len(y)), np.arange(len(y)) % 2
+    for k in (0, 1):
+        own, other = half[doc] == k, half[doc] != k
+        m = train(np.zeros(0), max(1, size), y[half != k], doc[other] // 2, place[other])
+        out[half == k] = m.logits(int((half == k).sum()), doc[own] // 2, place[own])
+    return np.clip(1 / (1 + np.exp(-np.clip(out, -30, 30))), y.mean() / 8, 1 - (1 - y.mean()) / 8)
+
+
+def deviance(bad, good, due):
+    return 2 * (bad * np.log(np.maximum(bad, 1) / np.maximum(due, 1e-9)) + good * np.log(np.maximum(good, 1) / np.maximum(bad + good - due, 1e-9)))
+
+
+def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 1024) -> np.ndarray:
+    """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
+
+    Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  The
+    binomial deviance from the sum of p bounds the probability of chance by exp(-deviance / 2).  A pair that is taken
+    explains its rows: one that rides on the same rows is not taken again.
+    """
+    least = 2 * np.log(max(2, len(among) * (len(among) - 1)))  # either side of each pair
+    where = np.full(size, -1)
+    where[among] = np.arange(len(among))
+    at, row = where[place], np.empty(len(y), np.int64)
+    by = np.argsort(y, kind="stable")
+    row[by] = np.arange(len(y))  # clean rows, then toxic ones
+    weight = p[by, None].astype(np.float32)
+    order = np.argsort(at, kind="stable")
+    order = order[at[order] >= 0]
+    at, rows, clean = at[order], row[doc[order]], int((y <= 0).sum())
+
+    def matrix(i):
+        x = np.zeros((len(y), min(block, len(among) - i)), np.float32)
+        lo, hi = np.searchsorted(at, [i, i + block])
+        x[rows[lo:hi], at[lo:hi] - i] = 1
+        return x
+
+    found, worth = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    for i in range(0, len(among), block):
+        a = matrix(i)
+        for j in range(i, len(among), block):
+            b = a if i == j else matrix(j)
+            bad = (a[clean:].T @ b[clean:]).astype(np.float64)
+            good = (a[:clean].T @ b[:clean]).astype(np.float64)
+            due = ((a * weight).T @ b).astype(np.float64)
+            dev = deviance(bad, good, due)
+            x, z = np.nonzero(np.triu(dev, 1) > least if i == j else dev > least)
+            found.append(np.column_stack([among[x + i], among[z + j]]))
+            worth.append(dev[x, z])
+    found, worth = np.concatenate(found), np.concatenate(worth)
+    y, p, out = y[by], p[by].copy(), []
+    of = lambda k: rows[np.searchsorted(at, where[k]) : np.searchsorted(at, where[k], side="right")]
+    for i, j in found[np.lexsort((found[:, 1], found[:, 0], -worth))].tolist():
+        r = np.intersect1d(of(i), of(j), assume_unique=True)
+        if deviance(bad := y[r].sum(), len(r) - bad, p[r].sum()) > least:
+            out.append((i, j))
+            p[r] = (bad + y.mean()) / (len(r) + 1)
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
     spark = docs.sparkSession
     y = labels.filter(learnable & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__lg_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     coin = F.pmod(F.xxhash64(F.lit(3), "__lg_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
@@ -151,12 +215,17 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
             return n1 / (n0 + n1)
         p = (F.col("n0") + F.col("n1") + 1) / (n0 + n1 + 2)
         z = F.abs(F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        best = freq.filter("b >= 0 and n0 + n1 >= 3").select("b", z.alias("z")).filter("z >= 4").orderBy(F.desc("z"), "b").limit(terms)
+        seen = freq.filter("b >= 0 and n0 + n1 >= 3")
+        best = seen.select("b", z.alias("z")).filter("z >= 4").orderBy(F.desc("z"), "b").limit(terms)
+        often = seen.select("b", (F.col("n0") + F.col("n1")).alias("n")).orderBy(F.desc("n"), "b").limit(screened)
         at = np.array([r["b"] for r in best.collect()], np.int64)  # at most ``terms`` rows
+        more = np.array([r["b"] for r in often.collect()], np.int64)  # at most ``screened`` rows
     finally:
         freq.unpersist()
     chosen = np.full(1 << BUCKETS, -1, np.int32)
+    alone, at = len(at), np.append(at, more[~np.isin(more, at)])
     chosen[at] = np.arange(len(at))
+    frequent = chosen[more]
 
     def rows(parts):
         import pyarrow as pa
@@ -172,10 +241,20 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
 
     got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
-    lists = got.column("places").to_pylist()
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    place = np.array([p for x in lists for p in x], np.int64)
-    return train(chosen, max(1, len(at)), y, doc, place)
+    lists = got.column("places").combine_chunks()
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    place = lists.flatten().to_numpy().astype(np.int64)
+    lone = place < alone
+    pairs = telling_pairs(y, foreseen(y, doc[lone], place[lone], alone), doc, place, len(at), frequent)
+    _, first = np.unique(pairs, return_index=True)
+    extra = pairs.ravel()[np.sort(first)]
+    kept = np.append(np.arange(alone), extra[extra >= alone][:terms]).astype(np.int64)
+    new = np.full(len(at), -1)
+    new[kept] = np.arange(len(kept))
+    chosen = np.full(1 << BUCKETS, -1, np.int32)
+    chosen[at[kept]] = np.arange(len(kept))
+    doc, place = doc[new[place] >= 0], new[place[new[place] >= 0]]
+    return train(chosen, max(1, len(kept)), y, doc, place)
 
 
 def score(docs: DataFrame, machine: Machine | float) -> DataFrame:

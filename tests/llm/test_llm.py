@@ -238,6 +238,18 @@ def test_toxicity_learns_pairs():
     assert (((m.logits(600, doc[o], place[o]) > 0) == y).mean()) == 1.0
 
 
+def test_toxicity_learns_pairs_from_texts(spark):
+    """The same through learn(): terms that tell nothing alone must reach the machine."""
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, (2, 2000))
+    y = (a == b).astype(int)
+    rows = [(i, " ".join(["alpha"] * int(a[i]) + ["gamma"] * int(b[i]) + [f"w{k}" for k in rng.integers(0, 300, 5)]), int(y[i])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = op3_toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.col("doc_id") < 1500)
+    got = op3_toxicity.score(df, m).filter("doc_id >= 1500").collect()
+    assert np.mean([(r["__lg_toxic"] >= 0.5) == r["toxic"] for r in got]) > 0.95
+
+
 def test_toxicity(spark, none):
     got = op3_toxicity.op3_toxicity(spark, "/root/testdata/sf0.01").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in got]) > 0.9
