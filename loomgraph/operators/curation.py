@@ -11,23 +11,28 @@ from pyspark.sql import Window as W
 
 from .graph import GENERIC, first_per, one_per_pair, pair_key
 
-HOPS = 5
+
+def cut(df: DataFrame) -> DataFrame:
+    """Without lineage: in the checkpoint folder if one is set, else kept by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
 
 
 def valid_merges(merges: DataFrame, nodes: DataFrame) -> DataFrame:
     """old, new of merges(from_id, into_id, seq) as if done in order of seq.
 
     A merge counts if both nodes exist and neither was absorbed before it; a node absorbed later takes what it had
-    absorbed along.  Chains of up to 32 steps are followed.
+    absorbed along.  Chains of any length are followed, by doubling until no row changes.
     """
     ids = nodes.select("id")
     m = merges.filter("from_id <> into_id").join(ids, F.col("from_id") == F.col("id"), "left_semi").join(ids, F.col("into_id") == F.col("id"), "left_semi")
     m = first_per(m, ["from_id"], ["seq"])
     gone = m.select(F.col("from_id").alias("into_id"), F.col("seq").alias("gone_at"))
     m = m.join(gone, "into_id", "left").filter("gone_at is null or gone_at > seq").select(F.col("from_id").alias("old"), F.col("into_id").alias("new"))
-    for _ in range(HOPS):
+    m, moved = cut(m), True
+    while moved:  # seq grows along a chain, so there are no rings
         on = m.select(F.col("old").alias("new"), F.col("new").alias("further"))
-        m = m.join(on, "new", "left").select("old", F.coalesce("further", "new").alias("new"))
+        step = cut(m.join(on, "new", "left").select("old", F.coalesce("further", "new").alias("new"), F.col("further").isNotNull().alias("moved")))
+        m, moved = step.select("old", "new"), not step.filter("moved").isEmpty()
     return m
 
 

@@ -53,6 +53,16 @@ def test_merges_in_order(spark):
     assert sorted(map(tuple, U.valid_merges(m, n).collect())) == [("a", "c"), ("b", "c")]
 
 
+def test_long_chain_of_merges(spark):
+    n = spark.createDataFrame([(i, str(i), "T", {f"k{i}": "v"}) for i in range(101)], "id long, label string, type string, attributes map<string,string>")
+    e = spark.createDataFrame([(0, 50, "r", 1.0, 0)], "source long, target long, relation string, weight double, seq long")
+    f = spark.createDataFrame([(0, "f", "user", 0)], "node_id long, fact string, source string, seq long")
+    m = spark.createDataFrame([(i, i + 1, i) for i in range(100)], "from_id long, into_id long, seq long")
+    nodes, edges, facts = U.apply_merges(n, e, f, m)
+    assert [(r["id"], len(r["attributes"])) for r in nodes.collect()] == [(100, 101)]
+    assert [r[:2] for r in edges.collect()] == [(100, 100)] and [r["node_id"] for r in facts.collect()] == [100]
+
+
 def epub():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
