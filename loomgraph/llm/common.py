@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,13 +22,15 @@ class Scratch:
     """Tables in the folder that ``spark.checkpoint.dir`` names, shared by driver and executors.
 
     Writing a table cuts the lineage: a lost executor costs only the stage that runs just then.
-    Where the setting is absent (tests on one machine) a temporary folder takes its place.
+    Where the setting is absent, a temporary folder takes its place if the master is local; elsewhere that is an error.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lg-scratch-")
         self.base = f"{base.rstrip('/')}/lg-{uuid.uuid4().hex}"
         self.made = 0
@@ -170,7 +173,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str, n_rows:
     Rows are dealt by a hash of ``order`` into buckets, ranked within (group, bucket), and
     shifted by the sizes of the earlier buckets, a table of bounded size that is joined back.
     """
-    buckets = max(8, -(-n_rows // per_task))
+    buckets = max(64, -(-n_rows // per_task))
     b = df.withColumn("__lg_b", F.pmod(F.xxhash64(F.lit(11), *order), F.lit(buckets)).cast("int"))
     sizes = b.groupBy(*group, "__lg_b").agg(F.count(F.lit(1)).alias("__lg_n"))
     before = W.partitionBy(*group).orderBy("__lg_b").rowsBetween(W.unboundedPreceding, -1)
@@ -183,7 +186,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str, n_rows:
 # ---------------------------------------------------------------- connected components
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Smallest id reachable from each end of edges(u, v): columns id, component.
 
     Alternating large-star and small-star steps: each node's neighbours move to the smallest
@@ -204,7 +207,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         return new.filter("u <> v").distinct()
 
     e, last = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()), None
-    for _ in range(rounds):
+    while True:  # a number of rounds in proportion to the logarithm of the longest chain
         new = scratch.save(star(star(e, True), False))
         scratch.drop(e)
         e = new

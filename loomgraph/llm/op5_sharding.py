@@ -4,15 +4,17 @@ Documents of equal text are linked.  Shards take equally many rows (law ``rows``
 apart), and as few links as possible cross shards.
 
 As linked documents of one group are interchangeable, the state of the propagation is a table of
-(group, shard, number of members), not of documents and never of links.  It starts from hashed
-shards.  In each round every group picks the shard that holds most of it and can take the rest;
-its members elsewhere ask to move there; requests are granted by size while the shard's quota
-lasts.  Documents without links have no wish; they fill the shards up to their exact quotas.  Groups above
-a quota are first cut into pieces of at most one quota.
+(group, shard, number of members), not of documents and never of links.  Groups above a quota are first cut into
+pieces of at most one quota.  Members start in hashed shards, dealt in turn.  In each round every group picks the shard
+that holds most of it and can take the rest; its members elsewhere ask to move there; requests are granted by
+size while there is room.  During the rounds a shard has room for twice its quota, so that groups can pass each other
+also where all documents are linked.  Then every shard above its quota is drained: its smallest groups move, whole but
+for those at the ends of the line, to the shards below theirs.  Documents without links have no wish; they fill
+the shards up to their exact quotas.
 
 Defined cases: a null text has size 1 and crc32 0 and is linked with nothing; an empty text is a text;
-repeated rows are rows of their own; a null doc_id ranks like any other row; an empty table gives an
-empty result.
+repeated rows are rows of their own; a null doc_id ranks like any other row; fewer rows than shards leave the last
+shards empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +35,36 @@ def loads(state: DataFrame) -> dict[int, int]:
     return Counter({r["s"]: r["load"] for r in state.groupBy("s").agg(F.sum("c").alias("load")).collect()})
 
 
-def shard(docs: DataFrame, scratch: Scratch, *, shards: int = 16, rounds: int = 6) -> DataFrame:
-    """__lg_doc (doc_id), size, text_crc32, shard, slot for each row of docs."""
+def drained(state: DataFrame, cap: list[int], load: dict[int, int], buckets: int) -> DataFrame:
+    """state with no shard above its quota: what lies beyond it, the smallest groups last, goes to shards below theirs."""
+    over = [t for t in range(len(cap)) if load[t] > cap[t]]
+    if not over:
+        return state
+    start, end, room = 0, 0, []
+    first: dict[int, int] = {}
+    for t in over:  # the members to move form one line, shard after shard, and so do the free places
+        first[t] = start
+        start += load[t] - cap[t]
+    for t in range(len(cap)):
+        if (free := cap[t] - load[t]) > 0:
+            room.append(F.struct(F.lit(t).alias("t"), F.lit(end).cast("long").alias("lo"), F.lit(end + free).cast("long").alias("hi")))
+            end += free
+    quota = F.element_at(F.array(*[F.lit(c).cast("long") for c in cap]), F.col("s") + 1)
+    base = F.element_at(F.array(*[F.lit(first.get(t, 0)).cast("long") for t in range(len(cap))]), F.col("s") + 1)
+    lined = state.filter(F.col("s").isin(over)).withColumn("z", F.floor(F.log2(F.col("c").cast("double"))).cast("int")).withColumn("b", F.pmod(F.xxhash64(F.lit(6), "g"), F.lit(buckets)))
+    sums = lined.groupBy("s", "z", "b").agg(F.sum("c").alias("n"))
+    earlier = W.partitionBy("s").orderBy(F.desc("z"), "b").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("s", "z", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = W.partitionBy("s", "z", "b").orderBy(F.desc("c"), "g").rowsBetween(W.unboundedPreceding, 0)
+    upto = lined.join(sums, ["s", "z", "b"]).withColumn("upto", F.col("before") + F.sum("c").over(within) - quota)
+    away = upto.filter("upto > 0").select("g", "s", (base + F.greatest(F.lit(0), F.col("upto") - F.col("c"))).alias("lo"), (base + F.col("upto")).alias("hi"))
+    put = away.withColumn("to", F.explode(F.array(*room))).withColumn("k", F.least("hi", "to.hi") - F.greatest("lo", "to.lo")).filter("k > 0")
+    delta = put.select("g", F.col("to.t").alias("s"), F.col("k").alias("c")).union(put.select("g", "s", -F.col("k")))
+    return state.union(delta).groupBy("g", "s").agg(F.sum("c").alias("c")).filter("c > 0")
+
+
+def shard(docs: DataFrame, scratch: Scratch, *, shards: int = 16, rounds: int = 10, block: int = 4096) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for each row of docs."""
     key = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(3), "text"))))
     base = scratch.save(
         docs.select("doc_id", key.alias("__lg_key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -46,12 +76,15 @@ def shard(docs: DataFrame, scratch: Scratch, *, shards: int = 16, rounds: int =
     tagged = base.join(sizes, "__lg_key", "left")
     members = ranked(tagged.filter("__lg_m is not null"), ["__lg_key"], ["doc_id", "size"], "__lg_r", n)
     members = scratch.save(members.withColumn("g", F.concat_ws("/", "__lg_key", F.floor(F.col("__lg_r") / least).cast("string"))).withColumn("__lg_r", F.col("__lg_r") % least))
-    state = members.groupBy("g", F.pmod(F.xxhash64("doc_id", "__lg_r"), F.lit(shards)).cast("int").alias("s")).agg(F.count(F.lit(1)).alias("c"))
-    state = scratch.save(state)
+    # a group's members are dealt in turn, from a hashed shard on
+    turn = F.pmod(F.col("s") - F.pmod(F.xxhash64(F.lit(7), "g"), F.lit(shards)), F.lit(shards))
+    share = F.floor(F.col("m") / shards) + (turn < F.col("m") % shards).cast("long")
+    state = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    state = scratch.save(state.select("g", "s", share.cast("long").alias("c")).filter("c > 0"))
     bucket = max(1, -(-n // 200_000))
     for _ in range(rounds):
         load = loads(state)
-        free = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(cap[t] - load[t]).cast("long").alias("free")) for t in range(shards)])
+        free = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(2 * cap[t] - load[t]).cast("long").alias("free")) for t in range(shards)])
         total = state.groupBy("g").agg(F.sum("c").alias("m"), F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("has"), F.count(F.lit(1)).alias("spread"))
         choice = F.expr(
             """array_max(transform(frees, x -> struct(
@@ -72,10 +105,12 @@ def shard(docs: DataFrame, scratch: Scratch, *, shards: int = 16, rounds: int =
             break
         delta = moves.select("g", F.col("t").alias("s"), F.col("k").alias("c")).union(moves.select("g", "s", -F.col("k")))
         state = scratch.save(state.union(delta).groupBy("g", "s").agg(F.sum("c").alias("c")).filter("c > 0"))
-    # members to shards: the group's ranks are cut at the running sums of its counts
+    state = scratch.save(drained(state, cap, loads(state), bucket))
+    # members to shards: the group's ranks are cut at the running sums of its counts; every ``block`` ranks have their own copy of the cuts
     upto = W.partitionBy("g").orderBy("s").rowsBetween(W.unboundedPreceding, 0)
-    cuts = state.withColumn("hi", F.sum("c").over(upto)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hi", "s"))).alias("cuts"))
-    linked = members.join(cuts, "g").select("doc_id", "size", "text_crc32", F.expr("filter(cuts, x -> x.hi > __lg_r)[0].s").alias("shard"))
+    cuts = state.withColumn("hi", F.sum("c").over(upto)).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("hi", "s"))).alias("cuts"), F.max("hi").alias("m"))
+    cuts = cuts.select("g", "cuts", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / block))).alias("blk"))
+    linked = members.withColumn("blk", F.floor(F.col("__lg_r") / block)).join(cuts, ["g", "blk"]).select("doc_id", "size", "text_crc32", F.expr("filter(cuts, x -> x.hi > __lg_r)[0].s").alias("shard"))
     load, upto = loads(state), 0
     fill = []
     for t in range(shards):
