@@ -18,16 +18,20 @@ members outside the largest one are then held against all members of other class
 blocks of bounded size that return a spanning forest of the links they find.  A pair that shares several buckets is
 compared in the first.  Every comparison is exact, from the texts' shingles.
 
+Work is on distinct texts, each with a number of its own, so that ids may repeat.
+
 Defined cases: equal texts are one class from the start, empty ones too; texts without words are linked with equal
 texts only; texts of fewer than five words have one shingle; null texts and rows with a null id are classes of their own; rows that repeat
-an id count as one document with the links of each; an empty table gives an empty result.
+an id with other texts count as one document with the links of each text in ``near_classes``, while ``keep_one`` judges every text by
+itself, so that no text goes without a near copy that stays; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch, buffers, components, hash_range, mix64, shingle_hashes, slices, table, word_hashes
 from .op8_embeddings import forest
@@ -199,11 +203,19 @@ def join_bucket(part, least: float):
     return pa.table({"u": u[u != v], "v": v[u != v]})
 
 
-def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands: int = 32, rows: int = 4, home_bytes: int = 2_000_000, other_bytes: int = 8_000_000) -> DataFrame:
-    """doc_id, class_id for each row of docs(doc_id, text)."""
+def whole() -> Column:
+    """Rows that take part in comparisons."""
+    return F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+
+
+def text_keys(a: str = "k1", b: str = "k2") -> list[Column]:
+    return [F.xxhash64("text").alias(a), F.xxhash64(F.lit(8), "text").alias(b)]
+
+
+def text_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands: int = 32, rows: int = 4, home_bytes: int = 2_000_000, other_bytes: int = 8_000_000) -> DataFrame:
+    """The distinct texts of docs(doc_id, text): k1, k2 (hashes), id (a number of the text), first (smallest doc_id), c (smallest id of the class)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ok = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
-    keyed = named.filter(ok).select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(8), "text").alias("k2"), "text")
+    keyed = named.filter(whole()).select("doc_id", *text_keys(), "text")
 
     def sketch(parts):
         import pyarrow as pa
@@ -219,14 +231,16 @@ def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(mass), pa.array(lists, pa.binary())], ["doc_id", "k1", "k2", "mass", "bands"])
 
     sketched = keyed.mapInArrow(sketch, "doc_id long, k1 long, k2 long, mass double, bands binary")
-    groups = scratch.save(sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("mass").alias("mass"), F.min("bands").alias("bands")))
+    groups = sketched.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min("mass").alias("mass"), F.min("bands").alias("bands"))
+    groups = scratch.save(groups.withColumn("id", F.monotonically_increasing_id()))  # numbers hold once they are written
     # the i-th 8 bytes of the packed keys, most significant first, name a bucket
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring(F.hex("bands"), i * 16 + 1, F.lit(16)))
     dealt = groups.filter("bands is not null").select("id", "mass", F.explode(keys).alias("hex")).select("id", "mass", F.conv("hex", 16, -10).cast("long").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = scratch.save(dealt.join(shared, "bucket").distinct())
-    texts = groups.select("id", "k1", "k2").join(members.select("id").distinct(), "id", "left_semi")
-    texts = scratch.save(keyed.join(texts.withColumnRenamed("id", "doc_id"), ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("id"), "text"))
+    chosen = groups.select("id", F.col("first").alias("doc_id"), "k1", "k2").join(members.select("id").distinct(), "id", "left_semi")
+    same = ["doc_id", "k1", "k2"]  # repeated rows of one document carry its text once
+    texts = scratch.save(keyed.join(chosen, same).dropDuplicates(same).select("id", "text"))
     head = members.groupBy("bucket").agg(F.min(F.struct("id", "mass")).alias("m")).select("bucket", F.col("m.id").alias("a"), F.col("m.mass").alias("ma"))
     near = (F.least("ma", "mass") >= least * F.greatest("ma", "mass")) & (F.col("a") != F.col("id"))
     pairs = scratch.save(members.join(head, "bucket").filter(near).select("a", F.col("id").alias("b")).distinct())
@@ -246,10 +260,20 @@ def near_classes(docs: DataFrame, scratch: Scratch, *, least: float = 0.8, bands
     others = rows_.withColumn("y", place("ab")).select(*cols, F.lit(False).alias("lead"), F.explode(every("hb")).alias("x"), "y")
     more = scratch.save(homes.unionByName(others).groupBy("bucket", "x", "y").applyInArrow(lambda t: join_bucket(t, least), "u long, v long"))
     comp = components(scratch, more.union(comp.select(F.col("id").alias("u"), F.col("component").alias("v"))))
-    known = groups.select("id", "k1", "k2")
-    known = known.join(comp, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class_id"))
-    done = keyed.select("doc_id", "k1", "k2").join(known, ["k1", "k2"]).select("doc_id", "class_id")
-    return done.union(named.filter(~ok).select("doc_id", F.col("doc_id").alias("class_id")))
+    return groups.join(comp, "id", "left").select("k1", "k2", "id", "first", F.coalesce("component", "id").alias("c"))
+
+
+def near_classes(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """doc_id, class_id for each row of docs(doc_id, text)."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = scratch.save(text_classes(docs, scratch, **how))
+    rows = scratch.save(named.filter(whole()).select("doc_id", *text_keys()).join(texts, ["k1", "k2"]).select("doc_id", "c"))
+    # the texts of a repeated id bring their classes together
+    several = rows.groupBy("doc_id").agg(F.min("c").alias("u"), F.max("c").alias("top")).filter("u < top").select("doc_id", "u")
+    joint = components(scratch, rows.join(several, "doc_id").select("u", F.col("c").alias("v")))
+    joined = rows.join(joint.withColumnRenamed("id", "c"), "c", "left").select("doc_id", F.coalesce("component", "c").alias("c"))
+    first = texts.join(joint.withColumnRenamed("id", "c"), "c", "left").groupBy(F.coalesce("component", "c").alias("c")).agg(F.min("first").alias("class_id"))
+    return joined.join(first, "c").select("doc_id", "class_id").union(named.filter(~whole()).select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +282,15 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with one row of each class, the smallest doc_id; rows with a null id stay."""
-    kept = near_classes(docs, scratch).filter("doc_id = class_id").select(F.col("doc_id").alias("__lg_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == F.col("__lg_id"), "left_semi")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter("doc_id is null"))
+    """docs with one row of each class of texts: that of the smallest doc_id, then text hash, then hash of the whole row.
+
+    Rows with a null id or a null text stay.
+    """
+    texts = text_classes(docs, scratch)
+    kept = texts.groupBy("c").agg(F.min(F.struct("first", "k1", "k2")).alias("m"))
+    kept = kept.select(F.col("m.first").alias("__lg_id"), F.col("m.k1").alias("__lg_k1"), F.col("m.k2").alias("__lg_k2"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.filter(whole()).select(*own, F.col("doc_id").cast("long").alias("__lg_id"), *text_keys("__lg_k1", "__lg_k2"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("__lg_row"))
+    chosen = tagged.join(kept, ["__lg_id", "__lg_k1", "__lg_k2"], "left_semi")
+    one = W.partitionBy("__lg_id", "__lg_k1", "__lg_k2").orderBy("__lg_row")
+    return chosen.withColumn("__lg_n", F.row_number().over(one)).filter("__lg_n = 1").select(*own).unionByName(docs.filter(~whole()))
