@@ -7,10 +7,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def usable(col: str = "embedding") -> Column:
-    """Not null, not empty, and without null or non-finite components."""
+def usable(col: str = "embedding", empty: bool = False) -> Column:
+    """Not null, not empty unless ``empty``, and without null or non-finite components."""
     bad = F.exists(col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return F.coalesce(F.col(col).isNotNull() & (F.size(col) > 0) & ~bad, F.lit(False))
+    return F.coalesce(F.col(col).isNotNull() & (F.size(col) >= (0 if empty else 1)) & ~bad, F.lit(False))
 
 
 def matrix(arr, dim: int = 0) -> np.ndarray:

@@ -195,6 +195,20 @@ def test_topk(spark, vectors):
     assert op1_topk.search(df.filter("vec_id < 0"), F.lit(True), Scratch(spark)).count() == 0
 
 
+def test_topk_large_components(spark):
+    """Scores up to the range of a long are exact; beyond it there is an error."""
+    rows = [(0, [200000.0]), (1, [200000.0]), (2, [150000.0]), (3, [140000.0]), (4, [-200000.0]), (5, [])]
+    got = op1_topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, Scratch(spark), k=10).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 41943040001048576 - 1048576), (2, 31457280000000000), (3, 29360128000000000), (5, 0), (4, -41943040000000000)]
+    wide = [(0, [2.0**21, 2.0**21]), (1, [2.0**20 * 1.5, -1.0]), (2, [2.0**20, 2.0**20])]
+    got = op1_topk.search(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.lit(True), Scratch(spark), k=1).collect()
+    x = {i: [int(1024 * c) for c in v] for i, v in wide}
+    best = {q: max((sum(a * b for a, b in zip(x[q], x[i], strict=True)), -i) for i in x if i != q) for q in x}
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in got} == {(q, -i, s) for q, (s, i) in best.items()}
+    with pytest.raises(Exception, match="does not fit"):
+        op1_topk.search(spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id long, embedding array<double>"), F.lit(True), Scratch(spark)).collect()
+
+
 def test_near_vectors(spark, vectors):
     ok = {i: (np.float32(e).astype(float), lab) for i, e, lab in vectors if i is not None and lab is not None and e is not None and None not in e and np.isfinite(e).all() and np.any(e)}
     link = {a: [b for b in ok if a != b and ok[a][1] == ok[b][1] and ok[a][0] @ ok[b][0] / np.linalg.norm(ok[a][0]) / np.linalg.norm(ok[b][0]) >= 0.98] for a in ok}
