@@ -45,9 +45,23 @@ class Scratch:
         out._lg_path = path
         return out
 
+    def save_sorted(self, df: DataFrame, key: str, buckets: int, dealt: bool = False) -> DataFrame:
+        """Writes df in sorted buckets of key and returns the frame that reads them: joins by key need no shuffle.
+
+        ``dealt``: df comes from joins of such tables, and each of its partitions holds one bucket already.
+        """
+        path, name = f"{self.base}/{self.made}", f"lg_{uuid.uuid4().hex}"
+        self.made += 1
+        (df if dealt else df.repartition(buckets, key)).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        out = self.spark.table(name)
+        out._lg_path, out._lg_table = path, name
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables made by save(); nothing may read them afterwards."""
+        """Deletes tables made by save() or save_sorted(); nothing may read them afterwards."""
         for df in frames:
+            if hasattr(df, "_lg_table"):
+                self.spark.sql(f"DROP TABLE {df._lg_table}")
             p = self.spark._jvm.org.apache.hadoop.fs.Path(df._lg_path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 

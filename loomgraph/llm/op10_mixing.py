@@ -5,7 +5,8 @@ times as large as the input.  Its mean repetition rate is
 ``weight(s) / sum of weights * budget * total / size(s)``.  Each document gets a uniform number
 from a hash of (seed, doc_id), which is put through the inverse of the Poisson distribution with
 that mean; the document is repeated so many times, and all copies are ordered globally by another
-hash, a shuffle that comes out the same each time.
+hash, a shuffle that comes out the same each time.  As that hash is uniform in [0, 1), its range is cut into equal
+partitions without sampling, so that counts are drawn once.
 
 Default weights: the square root of each source's size, as in temperature sampling.
 
@@ -24,6 +25,7 @@ from .common import table
 
 SEED = 20
 FEW = 10_000  # sources: up to so many, the table of rates is broadcast; beyond, it is joined by shuffle
+PART_BYTES = 128 << 20  # of text in a partition of the result
 TERMS = 64  # inverse Poisson: counts beyond it have no chance at rates up to 16; greater rates are split
 
 
@@ -56,8 +58,8 @@ def repetitions(rate: Column, seed: int) -> Column:
     return rest + whole
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None, budget: float) -> DataFrame:
-    """__lg_source, __lg_rate: one row for each source."""
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, budget: float) -> tuple[DataFrame, float]:
+    """__lg_source, __lg_rate: one row for each source; and the bytes of all texts."""
     key = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
     sizes = docs.groupBy(key.alias("__lg_source")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -67,20 +69,22 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, budget: floa
     sized = sizes.withColumn("w", w)
     sum_w, total = sized.agg(F.sum("w"), F.sum("size")).first()
     rate = F.when(F.col("size") > 0, F.col("w") / F.lit(sum_w or 1.0) * F.lit(float(budget)) * F.lit(total or 0.0) / F.col("size")).otherwise(F.lit(1.0))
-    return sized.select("__lg_source", F.coalesce(rate, F.lit(0.0)).alias("__lg_rate"))
+    return sized.select("__lg_source", F.coalesce(rate, F.lit(0.0)).alias("__lg_rate")), total or 0.0
 
 
 def mix_sources(docs: DataFrame, *, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
     """docs, each row repeated by its Poisson count and all shuffled; adds __lg_copy, __lg_rate, __lg_order."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    rates = source_rates(docs, weights, budget)
+    rates, total = source_rates(docs, weights, budget)
     if len(rates.take(FEW + 1)) <= FEW:
         rates = F.broadcast(rates)
     keyed = docs.withColumn("__lg_source", F.coalesce(F.col("source").cast("string"), F.lit("\0null")))
     times = keyed.join(rates, "__lg_source").withColumn("__lg_n", repetitions(F.col("__lg_rate"), seed))
     copies = times.filter("__lg_n > 0").select(*own, "__lg_rate", F.explode(F.sequence(F.lit(1), F.col("__lg_n"))).alias("__lg_copy"))
     order = uniform(seed, "order", F.col("__lg_copy").cast("string"))
-    return copies.withColumn("__lg_order", order).orderBy("__lg_order")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total * budget / PART_BYTES) + 1)
+    dealt = copies.withColumn("__lg_order", order).repartitionById(parts, F.floor(F.col("__lg_order") * parts).cast("int"))
+    return dealt.sortWithinPartitions("__lg_order", "doc_id", "__lg_copy")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,14 @@ Keys of at least ``min_chars`` code points that occur in at least ``min_docs`` d
 their lines except in the largest doc_id that holds them.
 
 The ledger of keys is a set of sorted runs (key hash, number of documents, largest doc_id), as in
-a log-structured merge tree.  Documents arrive in batches: each batch's keys are anti-joined with
-the runs (keys not seen before open a new run) and semi-joined (known keys add a run of
-increments); runs of a level are merged into one of the next level when ``fanout`` have gathered.
+a log-structured merge tree, no key in two runs.  Documents arrive in batches: each batch's keys are anti-joined with
+all runs; keys not seen before open a new run, and the others go into a run of increments.  When ``fanout``
+runs of a level have gathered they become one of the next level.  All runs have the same sorted buckets of key
+hashes: a batch is shuffled into them, and anti-joins, compaction (a full merge join) and the final sum of keys and
+increments need no further shuffle.
+
+Lines that very many documents share: keys in a thousandth or more of all (key, document) pairs, which are at most 1,000, are
+broadcast; the others meet the pairs in a join by key.
 
 Defined cases: a null or empty text is one empty line and stays as it is; rows whose doc_id is null
 are neither counted nor changed; rows that repeat a doc_id count as one document, and decisions
@@ -41,54 +46,62 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[bytes], list[bytes
 
 
 class LineLedger:
-    """Levelled sorted runs of (h, n_docs, max_doc)."""
-
-    def __init__(self, scratch: Scratch, fanout: int = 2):
-        self.scratch, self.fanout = scratch, fanout
-        self.levels: list[list[DataFrame]] = [[]]
+    """Levelled sorted runs (h, n_docs, max_doc) of disjoint keys, and levelled runs of increments to them."""
 
-    def runs(self) -> DataFrame | None:
-        every = [r for level in self.levels for r in level]
-        out = None
-        for r in every:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int = 2):
+        self.scratch, self.buckets, self.fanout = scratch, buckets, fanout
+        self.runs: list[list[DataFrame]] = [[]]
+        self.increments: list[list[DataFrame]] = [[]]
 
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def kept(self, df: DataFrame) -> DataFrame:
+        return self.scratch.save_sorted(df, "h", self.buckets, dealt=True)
 
     def add(self, keys: DataFrame) -> None:
         """keys(h, doc): distinct pairs of documents that no earlier batch had."""
-        own = self.merged(keys.select("h", F.lit(1).cast("long").alias("n_docs"), F.col("doc").alias("max_doc")))
-        seen = self.runs()
-        if seen is None:
-            run = own.withColumn("fresh", F.lit(True))
-        else:
-            own = self.scratch.save(own)
-            known = seen.filter("fresh").select("h")
-            run = own.join(known, "h", "left_anti").withColumn("fresh", F.lit(True)).unionByName(own.join(known, "h", "left_semi").withColumn("fresh", F.lit(False)))
-        self.levels[0].append(self.scratch.save(run.sortWithinPartitions("h")))
-        self.compact()
-
-    def compact(self, whole: bool = False) -> None:
-        for k in range(64):
-            if k >= len(self.levels):
-                break
-            if len(self.levels[k]) >= self.fanout or whole and k + 1 < len(self.levels) and self.levels[k]:
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                old, self.levels[k] = self.levels[k], []
-                runs = old[0]
-                for r in old[1:]:
-                    runs = runs.unionByName(r)
-                agg = runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.max("fresh").alias("fresh"))
-                self.levels[k + 1].append(self.scratch.save(agg.sortWithinPartitions("h")))
-                self.scratch.drop(*old)
+        own = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
+        own = self.scratch.save_sorted(own, "h", self.buckets)
+        runs = [r for level in self.runs for r in level]
+        fresh = own
+        for r in runs:
+            fresh = fresh.join(r.select("h"), "h", "left_anti")
+        if runs:
+            fresh = self.kept(fresh)
+            self.increments[0].append(self.kept(own.join(fresh.select("h"), "h", "left_anti")))
+            self.scratch.drop(own)
+        self.runs[0].append(fresh)
+        self.compact(self.runs)
+        self.compact(self.increments)
+
+    def compact(self, levels: list[list[DataFrame]]) -> None:
+        k = 0
+        while k < len(levels):
+            if len(levels[k]) >= self.fanout:
+                if k + 1 == len(levels):
+                    levels.append([])
+                old, levels[k] = levels[k], []
+                levels[k + 1].append(self.merged(old))
+            k += 1
+
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run in place of several."""
+        if len(runs) == 1:
+            return runs[0]
+        out = runs[0]
+        for r in runs[1:]:
+            more = r.select("h", F.col("n_docs").alias("n"), F.col("max_doc").alias("top"))
+            out = out.join(more, "h", "full").select("h", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "top").alias("max_doc"))
+        out = self.kept(out)
+        self.scratch.drop(*runs)
+        return out
 
     def total(self) -> DataFrame:
-        """One row per key."""
-        return self.merged(self.runs())
+        """h, n_docs, max_doc: one row per key, as each stands in one run."""
+        self.runs, self.increments = ([[self.merged([r for level in levels for r in level])]] if any(levels) else levels for levels in (self.runs, self.increments))
+        keys = self.runs[0][0]
+        if not self.increments[0]:
+            return keys
+        more = self.increments[0][0].select("h", F.col("n_docs").alias("n"), F.col("max_doc").alias("top"))
+        return keys.join(more, "h", "left").select("h", (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "top").alias("max_doc"))
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, *, min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -110,12 +123,17 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, *, min_docs: int = 3, min_cha
 
     src = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     keys = scratch.save(src.mapInArrow(keys_of, KEYS), partition_by="batch")
-    ledger = LineLedger(scratch, fanout)
+    ledger = LineLedger(scratch, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fanout)
     for k in range(batches):
         ledger.add(keys.filter(F.col("batch") == k).select("h", "doc").distinct())
-    ledger.compact(whole=True)
-    gone = ledger.total().filter(F.col("n_docs") >= min_docs).select("h", "max_doc")
-    lose = keys.select("h", "doc").join(gone, "h").filter("doc < max_doc").groupBy("doc").agg(F.collect_set("h").alias("__lg_lose"))
+    gone = scratch.save(ledger.total().filter(F.col("n_docs") >= min_docs).select("h", "max_doc", "n_docs"))
+    pairs = gone.agg(F.sum("n_docs")).first()[0] or 0
+    often = F.col("n_docs") * 1000 >= pairs  # at most 1,000 keys
+    heavy, light = F.broadcast(gone.filter(often).select("h", "max_doc")), gone.filter(~often).select("h", "max_doc")
+    held = keys.select("h", "doc").join(heavy, "h", "left")
+    rest = held.filter("max_doc is null").select("h", "doc").join(light, "h")
+    lose = held.filter("max_doc is not null").select("h", "doc", "max_doc").unionByName(rest.select("h", "doc", "max_doc"))
+    lose = lose.filter("doc < max_doc").groupBy("doc").agg(F.collect_set("h").alias("__lg_lose"))
     own = docs.columns
     joined = docs.withColumn("__lg_id", F.col("doc_id").cast("long")).join(lose.withColumnRenamed("doc", "__lg_id"), "__lg_id", "left").select(*[F.col(f"`{c}`") for c in own], "__lg_lose")
     stats = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
