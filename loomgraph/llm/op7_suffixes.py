@@ -7,12 +7,15 @@ Sharding the suffixes.  Each start of a 50-byte string is filed under its minimi
 hashes of the ``gram``-byte substrings in it.  Equal strings have equal minimizers, so all their starts meet in
 one shard.  Consecutive starts with one minimizer form a run of at most 35, whose bytes are a slice.
 
-1. Every run sends (minimizer, hash of its slice, document, number of the run) to its shard.  A
-   slice seen in a smaller document is removed as a whole in later ones.  For minimizers with more than
-   one slice, each slice's first document is asked for its bytes.
-2. These slices meet again in their shard: all starts are put in suffix order (to a depth of 50 bytes, ties
-   by document), common prefixes of neighbours are found, and a start whose previous smaller document in
-   suffix order shares at least 50 bytes has a longest previous factor of that length: it goes.
+In any order that puts equal strings side by side, the longest factor that a string shares with a smaller document is read
+from the previous and the next smaller position: the nearest places before and after it with a smaller document, and the
+least common prefix on the way there (``previous_factors``).  Where that reaches 50 bytes, the start goes.
+
+1. Every run sends (minimizer, hash of its slice, document, number of the run) to its shard.  There, in the
+   order of the slices' hashes, the common prefix of equal neighbours is the whole slice, of others 0: a slice with a longest previous
+   factor goes as a whole.  For minimizers with more than one slice, each slice's first document is asked for its bytes.
+2. These slices meet again in their shard: all starts are put in suffix order (to a depth of 50 bytes), common prefixes of neighbours
+   are found in words of 8 bytes, and starts with a longest previous factor of 50 bytes go.
 3. Documents join their marks, a 64-bit mask for each marked run.
 
 Hashes that name a slice have over 96 bits.  Shards hold about ``shard_runs`` runs.
@@ -113,14 +116,38 @@ PLAIN, SPREAD, MARKED, TOKEN = range(4)
 MASK, ASK, ASK_STARTS = range(3)
 
 
-def batch_firsts(ids, name, low):
-    """Which runs belong to the smallest document of their batch that has their slice."""
+def previous_factors(doc: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """For each place of a sorted order the longest prefix shared with a smaller document, exact where it is ``least`` or more.
+
+    ``common`` holds the common prefix of each place and the one before it.  The previous smaller position is found by
+    following each place's present candidate to that one's own, which doubles the way in every pass; the least common
+    prefix on the way is carried along, and a place whose prefix falls below ``least`` is given up.
+    """
+
+    def one_side(doc, low):
+        at = np.arange(len(doc)) - 1
+        live = np.flatnonzero(low >= least)
+        live = live[doc[at[live]] >= doc[live]]
+        while len(live):
+            j = at[live]
+            low[live], at[live] = np.minimum(low[live], low[j]), at[j]
+            live = live[low[live] >= least]
+            live = live[doc[at[live]] >= doc[live]]
+        return low
+
+    if not len(doc):
+        return common
+    before = np.append(0, common[1:])
+    after = np.append(0, common[:0:-1])
+    return np.maximum(one_side(doc, before), one_side(doc[::-1], after)[::-1])
+
+
+def batch_firsts(ids, name, low, span):
+    """Which runs belong to the smallest document of their batch that has their slice: those without a previous factor in the batch."""
     o = np.argsort(name, kind="stable")
-    new = np.append(True, (name[o][1:] != name[o][:-1]) | (low[o][1:] != low[o][:-1])) if len(o) else np.zeros(0, bool)
-    cut = np.flatnonzero(new)
-    least = np.minimum.reduceat(ids[o], cut) if len(cut) else ids
+    same = (name[o][1:] == name[o][:-1]) & (low[o][1:] == low[o][:-1])
     first = np.ones(len(o), bool)
-    first[o] = ids[o] == np.repeat(least, np.diff(np.append(cut, len(o))))
+    first[o] = previous_factors(ids[o], np.append(0, np.where(same, span, 0)).astype(np.int64)[: len(o)], span) < span
     return first
 
 
@@ -128,7 +155,7 @@ def full_mask(count):
     return (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
 
 
-def first_reduce(blobs, shard_runs: int):
+def first_reduce(blobs, shard_runs: int, span: int):
     """Rows (doc, ask, run numbers, masks) of one shard."""
     got = {k: [[], [], [], [], []] for k in range(4)}
     for b in blobs.to_pylist():
@@ -146,11 +173,11 @@ def first_reduce(blobs, shard_runs: int):
         if kind not in joined:
             continue
         key, name, doc, run, count = joined[kind]
-        o = np.lexsort((doc, name, key))
+        o = np.lexsort((name, key))
         key, name, doc, run, count = key[o], name[o], doc[o], run[o], count[o]
         new_key = np.append(True, key[1:] != key[:-1])
         new = new_key | np.append(True, name[1:] != name[:-1])
-        later = doc > doc[new][np.cumsum(new) - 1]
+        later = previous_factors(doc, np.where(new, 0, count.astype(np.int64) + span - 1), span) >= span
         kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
         spread = (kinds >= shard_runs) | np.isin(key, tokens) | (kind == SPREAD)
         ask = np.where(later, MASK, np.where(spread, ASK_STARTS, ASK))
@@ -180,7 +207,7 @@ def packed(doc, run, mask, ask):
 
 
 def suffix_reduce(rows, span: int):
-    """Masks for the asked runs of one shard, by suffix order and previous smaller documents.
+    """Masks for the asked runs of one shard, by suffix order and longest previous factors.
 
     ``at`` is the number of the first start within its run that a row holds.
     """
@@ -207,15 +234,14 @@ def suffix_reduce(rows, span: int):
         places.append(span - 8)
     doc = docs[row]
     columns = [word[start + p] for p in places]
-    order = np.lexsort((doc, *columns[::-1]))
-    same = np.ones(max(0, len(order) - 1), bool)  # neighbours in suffix order with a common prefix of ``span`` bytes
-    for c in columns:
+    order = np.lexsort(columns[::-1])
+    common = np.zeros(len(order), np.int64)  # of neighbours in suffix order, in whole words, ``span`` where all agree
+    same = np.ones(max(0, len(order) - 1), bool)
+    for p, c in zip(places, columns, strict=True):
         same &= c[order[1:]] == c[order[:-1]]
-    head = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
-    # within such a stretch documents ascend: the first is everyone's smallest previous one
-    smallest = np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
+        common[1:][same] = p + 8
     gone = np.zeros(len(order), bool)
-    gone[order] = doc[order] > smallest
+    gone[order] = previous_factors(doc[order], common, span) >= span
     bits = np.where(gone, np.uint64(1) << (begin[row] + within).astype(np.uint64), np.uint64(0))
     first = np.cumsum(count) - count
     mask = np.bitwise_or.reduceat(bits, first) if len(first) else np.zeros(0, np.uint64)
@@ -249,7 +275,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: i
             doc, run, count, low, name = (np.concatenate(x) for x in got)
             key = (low & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             shard = ((low >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            first = batch_firsts(ids[doc], name, low)
+            first = batch_firsts(ids[doc], name, low, span)
             kind = np.where(first, PLAIN, MARKED)
             # marks of the batch: dealt in pieces, whatever their minimizer
             marked = np.flatnonzero(~first)
@@ -284,7 +310,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, *, span: int = 50, gram: i
             yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["kind"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in BLOB]], list(out))
 
     blobs = src.mapInArrow(send, "shard int, kind int, " + ", ".join(f"{k} binary" for k in BLOB))
-    marks = scratch.save(blobs.groupBy("shard").applyInArrow(lambda t: first_reduce(t, shard_runs), MARKS))
+    marks = scratch.save(blobs.groupBy("shard").applyInArrow(lambda t: first_reduce(t, shard_runs, span), MARKS))
     asks = marks.filter(F.col("ask") > MASK).groupBy("doc").agg(F.collect_list(F.struct("runs", (F.col("ask") == ASK_STARTS).alias("each"))).alias("runs"))
 
     def answer(parts):

@@ -113,6 +113,16 @@ def kept_by_brute_force(rows, span=50):
     return want
 
 
+def test_previous_factors():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 300):
+        doc, common = rng.integers(0, 12, n), rng.choice([0, 8, 50, 60], n, p=[0.1, 0.1, 0.4, 0.4])
+        common[:1] = 0
+        want = [max([0, *(min(common[min(i, j) + 1 : max(i, j) + 1]) for j in range(n) if doc[j] < doc[i])]) for i in range(n)]
+        got = op7_suffixes.previous_factors(doc, common, 50)
+        assert [x if x >= 50 else 0 for x in got] == [x if x >= 50 else 0 for x in want]
+
+
 def test_repeats(docs, none, rows, spark):
     got = {r["doc_id"]: bytes(r["__lg_cut"]["kept"]) for r in op7_suffixes.remove_repeats(docs, Scratch(spark), shard_runs=50).collect()}
     assert got == kept_by_brute_force(rows)
