@@ -1,13 +1,19 @@
 """Embedding near-dedup as an exact metric range join within labels.
 
-Vectors are scaled to length 1; cosine >= c means a distance of at most r = sqrt(2 - 2c).  Pivots, at
-most ``max_pivots`` vectors drawn by hash, split every label into cells (nearest pivot).  A vector
+Vectors are scaled to length 1; cosine >= c means a distance of at most r = sqrt(2 - 2c).  Pivots, up to ``fan`` vectors
+of a label drawn by hash, split it into cells (nearest pivot).  A vector
 at distance a from its own pivot and b from another can have a partner in that pivot's cell only if
 b - a <= 2r (triangle inequality), and, distances being Euclidean, only if (b^2 - a^2) / (2 * distance
 of the pivots) <= r; where both hold it is copied there.  So each vector meets all its partners in its
 own cell, and cells join independently, in blocks of bounded size: a block counts the links of its rows
 and returns a spanning forest, never pairs.
 
+Cells with more home rows than a block takes are split again by pivots of their own, copies included, until none is left or a split
+is not worth it.  That is measured on some ``share`` rows of the cell: a label is split if the copies make at most four rows of one, or
+if the growth of rows times the share of comparisons left is at most 2; a cell further down if that holds and a quarter of
+the comparisons goes.  Where pivots separate nothing (vectors without structure), the cell stays whole and its
+blocks compare all its rows: slower, but as exact.
+
 Equal vectors are joined first, as one representative with a count.  Pairs whose cosine is within
 1e-9 of the bound are computed again from the stored components.
 
@@ -23,6 +29,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import Scratch, components, table
 from .vectors import matrix, usable
@@ -88,54 +95,93 @@ def join_block(part, bound: float, step: int = 1024):
     return pa.table({"u": u, "v": w, "links": c})
 
 
-def near_vectors(rows: DataFrame, scratch: Scratch, *, cos: float = 0.98, max_pivots: int = 256, cell: int = 4096, home_rows: int = 2048, other_rows: int = 16384) -> DataFrame:
+def assigned(part, r: float):
+    """For a part of a cell and the cell's pivots: its rows, their nearest pivot, and (row, pivot) of the copies to other pivots."""
+    lead = part.column("pivot").to_numpy(zero_copy_only=False).astype(bool)
+    rows = part.take(np.flatnonzero(~lead))
+    e = matrix(part.column("e"))
+    pivots, m = unit(e[lead]), unit(e[~lead])
+    d = np.sqrt(np.maximum(0, 2 - 2 * m @ pivots.T))
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    own = d.argmin(1)
+    a = d[np.arange(len(d)), own]
+    reach = (d - a[:, None] <= 2 * r) & (d**2 - (a**2)[:, None] <= 2 * r * gaps[own] + 1e-7)
+    reach[np.arange(len(d)), own] = False
+    return rows, own, *np.nonzero(reach), len(pivots)
+
+
+def worth(part, r: float):
+    """Growth of the rows and share of the comparisons left if this part of a cell were split."""
+    import pyarrow as pa
+
+    rows, own, _, to, p = assigned(part, r)
+    home = rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
+    h = np.bincount(own[home], minlength=p)
+    every = np.bincount(np.append(own, to), minlength=p)
+    left = float((h * every).sum()) / max(1, int(home.sum()) * len(own))
+    return pa.table({"label": part.column("label").slice(0, 1), "cell": part.column("cell").slice(0, 1), "growth": [float(every.sum()) / max(1, len(own))], "left": [left]})
+
+
+def children(part, r: float, fan: int):
+    import pyarrow as pa
+
+    rows, own, i, to, _ = assigned(part, r)
+    take = rows.take(pa.array(np.append(np.arange(len(own)), i)))
+    home = take.column("home").to_numpy(zero_copy_only=False).astype(bool)
+    home[len(own) :] = False
+    cell = take.column("cell").to_numpy() * fan + np.append(own, to) + 1
+    return pa.table({"label": take.column("label"), "cell": pa.array(cell, pa.int64()), "home": home, "id": take.column("id"), "n": take.column("n"), "e": take.column("e")})
+
+
+def near_vectors(rows: DataFrame, scratch: Scratch, *, cos: float = 0.98, cell: int = 16, fan: int = 16, share: int = 16384, home_rows: int = 2048, other_rows: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id for each row of rows(vec_id, embedding, label)."""
     ok = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     named = rows.select("vec_id", "embedding", "label", ok.alias("ok"))
     good = named.filter("ok").select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding", F.xxhash64("label", "embedding").alias("k1"), F.xxhash64(F.lit(9), "embedding", "label").alias("k2"))
-    reps = scratch.save(good.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("e"), F.any_value("label").alias("label")))
-    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    p = min(max_pivots, max(1, -(-most // cell)))
-    pivots = unit(matrix(reps.select("e", F.xxhash64(F.lit(1), "e").alias("o")).orderBy("o").limit(p).select("e").toArrow().column(0))) if most else np.zeros((0, 0))
+    reps = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("embedding").alias("e"), F.any_value("label").alias("label"))
+    reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()))  # numbers hold once they are written
     r = math.sqrt(2 - 2 * cos) + 1e-7
-
-    def cells(parts):
-        import pyarrow as pa
-
-        gaps = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-        for b in parts:
-            if not b.num_rows:
-                continue
-            m = unit(matrix(b.column("e"), pivots.shape[1]))
-            piv = np.pad(pivots, ((0, 0), (0, m.shape[1] - pivots.shape[1])))
-            d = np.sqrt(np.maximum(0, 2 - 2 * m @ piv.T))
-            own = d.argmin(1)
-            a = d[np.arange(len(d)), own]
-            reach = (d - a[:, None] <= 2 * r) & (d**2 - (a**2)[:, None] <= 2 * r * gaps[own] + 1e-7)
-            reach[np.arange(len(d)), own] = False
-            i, j = np.nonzero(reach)
-            src, cell_no = np.append(np.arange(len(d)), i), np.append(own, j)
-            home = np.append(np.ones(len(d), bool), np.zeros(len(i), bool))
-            take = b.take(pa.array(src))
-            yield pa.RecordBatch.from_arrays([take.column("label"), pa.array(cell_no.astype(np.int32)), pa.array(home), take.column("id"), take.column("n"), take.column("e")], ["label", "cell", "home", "id", "n", "e"])
-
     kind = dict(reps.dtypes)
-    dealt = scratch.save(reps.select("label", "id", "n", "e").mapInArrow(cells, f"label {kind['label']}, cell int, home boolean, id long, n long, e {kind['e']}"))
+    schema = f"label {kind['label']}, cell long, home boolean, id long, n long, e {kind['e']}"
+    dealt = reps.select("label", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", "n", "e")
+    of = ["label", "cell"]
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    level, done = 0, []
+    while True:
+        most = home_rows if level else cell
+        sizes = dealt.groupBy(*of).agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("a")).filter(F.col("h") > most)
+        large = scratch.save(sizes.select(*of, F.least(F.lit(fan), F.ceil(F.col("h") / most)).alias("p"), F.ceil(F.col("a") / share).cast("int").alias("parts")))
+        if not large.take(1):
+            break
+        drawn = W.partitionBy(*of).orderBy(F.xxhash64(F.lit(level), "id"), "id")
+        pivots = dealt.filter("home").join(large, of).withColumn("o", F.row_number().over(drawn)).filter(F.col("o") <= F.col("p"))
+        pivots = pivots.select(*of, F.explode(every("parts")).alias("part"), F.lit(True).alias("pivot"), "home", "id", "n", "e")
+        tiles = dealt.join(large, of).select(*of, F.pmod(F.xxhash64(F.lit(20 + level), "id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot"), "home", "id", "n", "e")
+        tiles = tiles.unionByName(scratch.save(pivots))
+        gain = tiles.filter("part = 0").groupBy(*of).applyInArrow(lambda t: worth(t, r), f"label {kind['label']}, cell long, growth double, left double")
+        good_split = F.col("growth") * F.col("left") <= 2
+        split = scratch.save(gain.filter(good_split & (F.col("left") <= 0.75) if level else good_split | (F.col("growth") <= 4)).select(*of))
+        if not split.take(1):
+            break
+        done.append(dealt.join(split, of, "left_anti"))
+        dealt = scratch.save(tiles.join(split, of, "left_semi").groupBy(*of, "part").applyInArrow(lambda t: children(t, r, fan), schema))
+        level += 1
+    for x in done:
+        dealt = dealt.unionByName(x)
     # blocks: the home rows of a cell against all its rows, both cut by a hash of the id
-    size = dealt.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / home_rows).cast("int").alias("hb"), F.ceil(F.count(F.lit(1)) / other_rows).cast("int").alias("ab")).filter("hb > 0")
-    sized = dealt.join(size, ["label", "cell"])
+    size = dealt.groupBy(*of).agg(F.ceil(F.count_if("home") / home_rows).cast("int").alias("hb"), F.ceil(F.count(F.lit(1)) / other_rows).cast("int").alias("ab")).filter("hb > 0")
+    sized = dealt.join(size, of)
     place = lambda n: F.pmod(F.xxhash64(F.lit(4), "id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cols = ["label", "cell", "id", "n", "e"]
     homes = sized.filter("home").withColumn("x", place("hb")).select(*cols, "home", "x", F.explode(every("ab")).alias("y"))
     others = sized.withColumn("y", place("ab")).withColumn("home", F.lit(False)).select(*cols, "home", F.explode(every("hb")).alias("x"), "y")
     blocks = homes.unionByName(others).groupBy("label", "cell", "x", "y")
     met = scratch.save(blocks.applyInArrow(lambda t: join_block(t, cos), "u long, v long, links long"))
-    scratch.drop(dealt)
     links = met.filter("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     comp = components(scratch, met.filter("u <> v").select("u", "v"))
-    known = reps.select("k1", "k2", "id", "n").join(links, "id", "left").join(comp, "id", "left").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    done = good.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    known = scratch.save(reps.select("k1", "k2", "id", "first", "n").join(links, "id", "left").join(comp, "id", "left").select("k1", "k2", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("c")))
+    first = known.groupBy("c").agg(F.min("first").alias("component_id"))
+    done = good.select("vec_id", "k1", "k2").join(known.join(first, "c"), ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = named.filter("not ok").select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return done.union(alone)
 

@@ -234,7 +234,7 @@ def test_near_vectors(spark, vectors):
 
     want = {(i, len(link.get(i, [])), reach(i) if i in ok else i) for i, *_ in vectors}
     df = spark.createDataFrame(vectors, VECTORS)
-    for kw in ({}, {"cell": 4, "home_rows": 5, "other_rows": 7}):
+    for kw in ({}, {"cell": 4, "home_rows": 5, "other_rows": 7, "share": 9}, {"cell": 1000}):
         assert {tuple(r) for r in op8_embeddings.near_vectors(df, Scratch(spark), **kw).collect()} == want
     assert op8_embeddings.near_vectors(df.filter("vec_id < 0"), Scratch(spark)).count() == 0
 
