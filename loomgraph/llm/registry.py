@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import op1_topk, op2_language, op3_toxicity, op4_neardup, op5_sharding, op6_bpe, op7_suffixes, op8_embeddings, op9_lines, op10_mixing
+from . import op1_topk, op2_language, op3_toxicity, op4_neardup, op5_sharding, op6_bpe, op7_suffixes, op8_embeddings, op9_lines, op10_mixing, stages
 
 
 def queries() -> dict:
@@ -19,7 +17,7 @@ def queries() -> dict:
         "op8_embedding_dedup": op8_embeddings.op8_embedding_dedup,
         "op9_line_dedup": op9_lines.op9_line_dedup,
         "op10_mix_sources": op10_mixing.op10_mix_sources,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": stages.run,
     }
 
 
