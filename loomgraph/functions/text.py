@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and what remains of them after compatibility decomposition; other non-ASCII characters are dropped.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
 # Words ignored when facts are compared.
 ARTICLES = ["el", "la", "los", "las", "un", "una", "de", "del", "en", "the", "a", "an", "of", "in"]
 
@@ -58,9 +56,25 @@ OVERVIEW = [
 ]
 
 
+@lru_cache
+def decomposed() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition (NFKD) holds one ASCII character, these characters, and those with several."""
+    one, many = {}, {}
+    for k in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        ascii_ = "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if x < "\x80")
+        if ascii_:
+            (one if len(ascii_) == 1 else many)[chr(k)] = ascii_
+    return "".join(one), "".join(one.values()), many
+
+
 def fold(c: Column) -> Column:
-    """Lower case without marks and without other non-ASCII characters."""
-    return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """Lower case, decomposed, without the non-ASCII characters that remain."""
+    accented, plain, many = decomposed()
+    low = F.lower(c)
+    spread = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    letters = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(spread, x), x))
+    low = F.when(low.rlike(f"[{''.join(many)}]"), F.array_join(letters, "")).otherwise(low)
+    return F.regexp_replace(F.translate(low, accented, plain), r"[^\x00-\x7F]", "")
 
 
 def make_id(c: Column) -> Column:

@@ -35,12 +35,17 @@ def under_chunked(stats_: DataFrame) -> DataFrame:
 def markdown_sections(files: DataFrame) -> DataFrame:
     """path, name, level, start_line, end_line, parent of the headings of files(path, text).
 
-    A section ends before the next heading; its parent is the nearest earlier heading of a smaller level.
+    A section ends with its last line before the next heading that is not blank; its parent is the nearest earlier heading of a
+    smaller level.
     """
-    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), F.size(F.split("text", "\n", -1)).alias("total"))
-    h = lines.filter(F.col("line").rlike(r"^#{1,6}\s+.+")).select("path", (F.col("pos") + 1).alias("start_line"), "total", F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)", 1)).alias("name"))
+    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    at = W.partitionBy("path").orderBy("pos")
+    head = F.col("line").rlike(r"^#{1,6}\s+.+")
+    lines = lines.withColumn("section", F.sum(head.cast("int")).over(at)).filter("section > 0")
+    first = F.min_by("line", "pos")
+    h = lines.groupBy("path", "section").agg((F.min("pos") + 1).alias("start_line"), first.alias("line"), F.max(F.when(F.col("line").rlike(r"\S"), F.col("pos") + 1)).alias("end_line"))
+    h = h.select("path", "start_line", "end_line", F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_extract("line", r"^#{1,6}\s+(.+)", 1)).alias("name"))
     by = W.partitionBy("path").orderBy("start_line")
-    h = h.withColumn("end_line", F.coalesce(F.lead("start_line").over(by) - 1, F.col("total")))
     # a heading's parent: of the last headings of each level, the latest with a smaller level
     before = by.rowsBetween(W.unboundedPreceding, -1)
     last = [F.max(F.when(F.col("level") == k, F.struct("start_line", "name"))).over(before) for k in range(1, 6)]
@@ -48,9 +53,18 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return h.select("path", "name", "level", "start_line", "end_line", parent["name"].alias("parent"))
 
 
+BIN = 256
+
+
 def chunks_in_units(chunks: DataFrame, units: DataFrame) -> DataFrame:
-    """units(path, name, start_line, end_line) with the ids of the chunks of their file that lie within them."""
-    hit = units.join(chunks.select("path", "chunk_id", "line_start", "line_end"), "path").filter("line_start >= start_line and line_end <= end_line")
+    """units(path, name, start_line, end_line) with the ids of the chunks of their file that lie within them.
+
+    Units are listed under every ``BIN`` lines they span and meet the chunks that begin there, not all chunks of the file.
+    """
+    bin_ = lambda c: F.floor(F.col(c) / BIN)
+    spread = units.withColumn("__bin", F.explode(F.sequence(bin_("start_line"), bin_("end_line"))))
+    starts = chunks.select("path", "chunk_id", "line_start", "line_end", bin_("line_start").alias("__bin"))
+    hit = spread.join(starts, ["path", "__bin"]).filter("line_start >= start_line and line_end <= end_line")
     return hit.groupBy("path", "name", "start_line", "end_line").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
 
 

@@ -3,37 +3,43 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def first_json(text: str | None) -> str | None:
-    """The first balanced {...} that parses, else what lies between the first and the last brace, if that parses."""
+def first_json(text: str | None, target: str = "object") -> str | None:
+    """The first JSON object, or array, of a reply.
+
+    Tried in turn: the balanced piece from the first opening brace on (braces in strings count as well); all up to the last closing
+    brace; the same with commas put between a closing bracket or brace and a key on the next line.  Nothing else is searched.
+    """
     text = text or ""
-    begin = text.find("{")
-    while begin >= 0:
-        depth = 0
-        for k in range(begin, len(text)):
-            depth += (text[k] == "{") - (text[k] == "}")
-            if depth == 0:
-                try:
-                    return json.dumps(json.loads(text[begin : k + 1]), ensure_ascii=False)
-                except ValueError:
-                    break
-        begin = text.find("{", begin + 1)
-    a, b = text.find("{"), text.rfind("}")
-    if 0 <= a < b:
+    left, right = "{}" if target == "object" else "[]"
+    begin, end, depth = text.find(left), text.rfind(right), 0
+    if begin < 0:
+        return None
+    tries = []
+    for m in re.finditer(f"[{re.escape(left + right)}]", text[begin:]):
+        depth += 1 if m[0] == left else -1
+        if not depth:
+            tries.append(text[begin : begin + m.end()])
+            break
+    if end > begin:
+        whole = text[begin : end + 1]
+        tries += [whole, re.sub(r'([\]}])\s*\n\s*"', r'\1, "', whole)]
+    for x in tries:
         try:
-            return json.dumps(json.loads(text[a : b + 1]), ensure_ascii=False)
+            return json.dumps(json.loads(x), ensure_ascii=False)
         except ValueError:
-            return None
+            continue
     return None
 
 
-def json_object(df: DataFrame, column: str, out: str = "json") -> DataFrame:
-    """Adds the first JSON object of a reply, in Arrow batches."""
+def json_object(df: DataFrame, column: str, out: str = "json", target: str = "object") -> DataFrame:
+    """Adds the first JSON object, or array, of a reply, in Arrow batches."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     at, names = df.columns.index(column), [*df.columns, out]
 
@@ -41,7 +47,7 @@ def json_object(df: DataFrame, column: str, out: str = "json") -> DataFrame:
         import pyarrow as pa
 
         for b in parts:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([first_json(x) for x in b.column(at).to_pylist()], pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([first_json(x, target) for x in b.column(at).to_pylist()], pa.string())], names)
 
     return df.mapInArrow(run, schema)
 

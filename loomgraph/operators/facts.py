@@ -26,16 +26,23 @@ def distinct_facts(facts: DataFrame, alike: float = 0.65) -> DataFrame:
     return arr.select("node_id", F.explode(kept).alias("k")).select("node_id", F.col("k.fact").alias("fact"), F.col("k.seq").alias("seq"))
 
 
-def upsert_entities(nodes: DataFrame, delta: DataFrame, now: str, known_types: list[str]) -> DataFrame:
-    """nodes(id, label, type, status, created_at, last_active, session_count) after delta(id, label, type).
+def upsert_entities(nodes: DataFrame, delta: DataFrame, now: str, known_types: list[str], seen: DataFrame | None = None) -> DataFrame:
+    """nodes(id, label, type, status, created_at, last_active, session_count, pending) after delta(id, label, type, seq).
 
-    New entities become full records, with an unknown type marked as incomplete; those that exist are only
-    touched: label and type stay.
+    New entities become full records from their first row by seq, with an unknown type marked as incomplete; those that exist are only
+    touched: label and type stay.  Each later mention of an entity counts a session more, unless ``seen(id)`` says that the node
+    has a fact of the present one.
     """
     known = F.col("d_type").isin(known_types)
-    d = delta.groupBy("id").agg(F.min("label").alias("d_label"), F.min("type").alias("d_type"))
+    first = F.min_by(F.struct("label", "type"), "seq")
+    d = delta.groupBy("id").agg(first.alias("f"), F.count(F.lit(1)).cast("int").alias("mentions")).select("id", F.col("f.label").alias("d_label"), F.col("f.type").alias("d_type"), "mentions")
+    if seen is not None:
+        d = d.join(seen.select("id", F.lit(True).alias("now_seen")).distinct(), "id", "left")
+    else:
+        d = d.withColumn("now_seen", F.lit(None).cast("boolean"))
     j = nodes.join(d, "id", "full_outer")
     new, hit = F.col("label").isNull(), F.col("d_label").isNotNull()
+    more = F.when(~hit | F.coalesce("now_seen", F.lit(False)), 0).otherwise(F.col("mentions"))
     return j.select(
         "id",
         F.coalesce("label", "d_label").alias("label"),
@@ -43,7 +50,8 @@ def upsert_entities(nodes: DataFrame, delta: DataFrame, now: str, known_types: l
         F.when(new, F.when(known, "complete").otherwise("incomplete")).otherwise(F.col("status")).alias("status"),
         F.coalesce("created_at", F.lit(now)).alias("created_at"),
         F.when(hit, F.lit(now)).otherwise(F.col("last_active")).alias("last_active"),
-        (F.coalesce("session_count", F.lit(0)) + hit.cast("int")).alias("session_count"),
+        (F.coalesce("session_count", F.lit(0)) + more).cast("int").alias("session_count"),
+        F.when(new, F.when(known, F.array().cast("array<string>")).otherwise(F.array(F.lit("type")))).otherwise(F.col("pending")).alias("pending"),
     )
 
 

@@ -37,8 +37,9 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.filter(F.contains(F.lower("label"), q) | F.contains(q, F.lower("label")))
 
 
-def children(nodes: DataFrame, prefix: str) -> DataFrame:
-    return nodes.filter(F.col("id").startswith(prefix))
+def children(nodes: DataFrame, parent: str, kinds: tuple[str, ...] = ("section", "symbol")) -> DataFrame:
+    """Nodes of some kinds below a parent: its id, the separator, and more."""
+    return nodes.filter(F.col("id").startswith(f"{parent}__") & F.col("kind").isin(*kinds))
 
 
 def incident(edges: DataFrame, ids: list[str]) -> DataFrame:

@@ -50,9 +50,17 @@ def node_search_bidirectional(s, d):
     return G.search(D.nodes(s, d), "NATION_1").select("id", "label", "type")
 
 
-@query(f"WITH {N} SELECT id, label FROM nodes WHERE starts_with(id, 'customer_1')")
+SECTIONS = "sections AS (SELECT 'file_' || o_custkey || '__' || o_orderkey AS id, o_orderpriority AS label, CASE o_orderkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'symbol' ELSE 'entity' END AS kind, o_orderkey AS seq FROM orders)"
+
+
+def sections(s, d):
+    k = F.col("o_orderkey") % 3
+    return t(s, d, "orders").select(F.concat(F.lit("file_"), "o_custkey", F.lit("__"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), F.when(k == 0, "section").when(k == 1, "symbol").otherwise("entity").alias("kind"), F.col("o_orderkey").alias("seq"))
+
+
+@query(f"WITH {SECTIONS} SELECT id, label FROM sections WHERE starts_with(id, 'file_1__') AND kind <> 'entity'")
 def children_by_prefix(s, d):
-    return G.children(D.nodes(s, d), "customer_1").select("id", "label")
+    return G.children(sections(s, d), "file_1").select("id", "label")
 
 
 @query(f"WITH {P} SELECT source, target, relation FROM edges WHERE source IN ('nation_3', 'region_1') OR target IN ('nation_3', 'region_1')")
@@ -163,6 +171,15 @@ def make_id(s, d):
     return t(s, d, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", X.make_id(F.col("w")).alias("id"))
 
 
+MARKED = ["Žižek", "Łódź", "Kőrösi", "Škoda Ørsted", "Ångström", "naïve ťhť", "Ñandú"]
+
+
+@query(f"SELECT c_custkey, trim(regexp_replace(regexp_replace(strip_accents(lower(w)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '_') AS id FROM (SELECT c_custkey, {MARKED!r}[1 + c_custkey % {len(MARKED)}] || c_name AS w FROM customer)")
+def make_id_marks(s, d):
+    word = F.element_at(F.array(*map(F.lit, MARKED)), (F.col("c_custkey") % len(MARKED) + 1).cast("int"))
+    return t(s, d, "customer").select("c_custkey", X.make_id(F.concat(word, "c_name")).alias("id"))
+
+
 @query("""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9\\s]', '', 'g') AS b FROM documents)
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(b, '\\b(el|la|los|las|un|una|de|del|en|the|a|an|of|in)\\b', '', 'g'), '\\s+', ' ', 'g'))) AS form FROM x""")
 def dedup_normalize(s, d):
@@ -183,35 +200,32 @@ def jaccard_pairs(s, d):
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(X.jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"))
 
 
-QUESTIONS = [
-    "show me the code", "what is a graph", "how many parts are there", "explain the approach", "give me an example", "why use spark", "line 12",
-    "compare a and b", "what is the exact version", "overview of the idea", "error in the stack trace", "", "hello", "released 2024-01-02",
-    "by the way, another thing", "Let's talk about dogs", "cambiando de tema, hola", "list all files", "resumen", "unrelated but nice", "Going back to work",
-]
-VALUES = "(VALUES " + ", ".join("(" + str(i) + ", '" + q.replace("'", "''") + "')" for i, q in enumerate(QUESTIONS)) + ") AS q(i, text)"
+def _hits(signs):
+    return " + ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')::INT" for p in signs)
 
 
-def questions(s):
-    return s.createDataFrame(list(enumerate(QUESTIONS)), "i int, text string")
+TALK = "(SELECT conv_id, turn, text || ' ' || CASE turn % 5 WHEN 0 THEN 'Show me the code' WHEN 1 THEN 'what is the idea' WHEN 2 THEN 'By the way, how many' WHEN 3 THEN 'cambiando de tema' ELSE '' END AS text FROM conversations) x"
 
 
-def _hits(signs):
-    return " + ".join("regexp_matches(text, '(?i)" + p.replace("'", "''") + "')::INT" for p in signs)
+def talk(s, d):
+    k = F.col("turn") % 5
+    asked = F.when(k == 0, "Show me the code").when(k == 1, "what is the idea").when(k == 2, "By the way, how many").when(k == 3, "cambiando de tema").otherwise("")
+    return t(s, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), asked).alias("text"))
 
 
-@query(f"SELECT i, CASE WHEN {_hits(X.SPECIFIC)} >= {_hits(X.CONCEPTUAL)} THEN 'specific' ELSE 'conceptual' END AS kind FROM {VALUES}")
+@query(f"SELECT conv_id, turn, CASE WHEN {_hits(X.SPECIFIC)} >= {_hits(X.CONCEPTUAL)} THEN 'specific' ELSE 'conceptual' END AS kind FROM {TALK}")
 def specificity(s, d):
-    return questions(s).select("i", X.specificity(F.col("text")).alias("kind"))
+    return talk(s, d).select("conv_id", "turn", X.specificity(F.col("text")).alias("kind"))
 
 
-@query(f"SELECT i, lower(regexp_extract(text, '(?i)({'|'.join(X.CHANGE).replace(chr(39), chr(39) * 2)})', 1)) AS phrase FROM {VALUES}")
+@query(f"SELECT conv_id, turn, lower(regexp_extract(text, '(?i)({'|'.join(X.CHANGE).replace(chr(39), chr(39) * 2)})', 1)) AS phrase FROM {TALK}")
 def topic_change_phrase(s, d):
-    return questions(s).select("i", X.change_phrase(F.col("text")).alias("phrase"))
+    return talk(s, d).select("conv_id", "turn", X.change_phrase(F.col("text")).alias("phrase"))
 
 
-@query(f"SELECT i, {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in X.OVERVIEW)} AS overview FROM {VALUES}")
+@query(f"SELECT conv_id, turn, {' OR '.join(f'contains(lower(text), {chr(39)}{p}{chr(39)})' for p in X.OVERVIEW)} AS overview FROM {TALK}")
 def intent_override(s, d):
-    return questions(s).select("i", X.asks_overview(F.col("text")).alias("overview"))
+    return talk(s, d).select("conv_id", "turn", X.asks_overview(F.col("text")).alias("overview"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 58) || '..' ELSE text END AS short FROM documents")
@@ -262,17 +276,17 @@ def under_chunked(s, d):
     return C.under_chunked(x)
 
 
-MD = "('# ' || n_name || chr(10) || 'a' || chr(10) || '## ' || r_name || chr(10) || chr(10) || '### x' || n_nationkey || chr(10) || '## y')"
+MD = "('# ' || n_name || chr(10) || 'a' || chr(10) || chr(10) || chr(10) || '## ' || r_name || chr(10) || chr(10) || '### x' || n_nationkey || chr(10) || '## y' || chr(10) || chr(10))"
 
 
 @query(f"""WITH f AS (SELECT n_name AS path, string_split({MD}, chr(10)) AS ls FROM nation JOIN region ON n_regionkey = r_regionkey),
 l AS (SELECT path, ls[k] AS line, k, len(ls) AS total FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS k FROM f)),
 h AS (SELECT path, k, total, length(regexp_extract(line, '^(#+)\\s', 1)) AS level, trim(regexp_extract(line, '^#+\\s+(.+)', 1)) AS name FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+.+'))
-SELECT path, name, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS start_line, CAST(coalesce(lead(k) OVER (PARTITION BY path ORDER BY k) - 1, total) AS INTEGER) AS end_line,
+SELECT path, name, CAST(level AS INTEGER) AS level, CAST(k AS INTEGER) AS start_line, CAST((SELECT max(b.k) FROM l b WHERE b.path = h.path AND trim(b.line) <> '' AND b.k >= h.k AND b.k < coalesce((SELECT min(n.k) FROM h n WHERE n.path = h.path AND n.k > h.k), total + 1)) AS INTEGER) AS end_line,
 (SELECT arg_max(p.name, p.k) FROM h p WHERE p.path = h.path AND p.k < h.k AND p.level < h.level) AS parent FROM h""")
 def markdown_sections(s, d):
     x = t(s, d, "nation").join(F.broadcast(t(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    body = F.concat(F.lit("# "), "n_name", F.lit("\na\n## "), "r_name", F.lit("\n\n### x"), "n_nationkey", F.lit("\n## y"))
+    body = F.concat(F.lit("# "), "n_name", F.lit("\na\n\n\n## "), "r_name", F.lit("\n\n### x"), "n_nationkey", F.lit("\n## y\n\n"))
     return C.markdown_sections(x.select(F.col("n_name").alias("path"), body.alias("text")))
 
 
@@ -495,14 +509,20 @@ def windowed_event_counts(s, d):
     return S_.windowed_counts(t(s, d, "events"))
 
 
-@query(f"""WITH {N}, q AS (SELECT i, list_distinct(string_split(lower(text), ' ')) AS w FROM (VALUES (0, 'nation_1 and nation_2'), (1, 'customer_5')) AS q(i, text)),
-x AS (SELECT i, id, seq, round(len(list_intersect(w, [lower(label)]))::DOUBLE / len(list_distinct(list_append(w, lower(label)))), 6) AS score FROM q, nodes WHERE type <> 'Product'),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, seq) AS INTEGER) AS rank FROM x WHERE score > 0) SELECT i, id, score, rank FROM r WHERE rank <= 20""")
+GS = f"""{N}, g AS (SELECT id, label, seq, CASE WHEN seq % 3 = 0 THEN 'PERSONAL' ELSE 'UNIVERSAL' END AS layer, CASE seq % 7 WHEN 0 THEN 'hot' WHEN 1 THEN 'warm' ELSE '' END AS status, CAST(seq % 9 AS INTEGER) AS session_count, CAST(seq AS VARCHAR) AS last_active FROM nodes)"""
+
+
+@query(f"""WITH {GS}, q AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(text || ' nation_' || (conv_id % 25)), ' '), lambda w: w <> '')) AS w FROM conversations WHERE turn = 1),
+l AS (SELECT *, list_distinct(list_filter(string_split(replace(lower(label), '_', ' '), ' '), lambda w: w <> '')) AS lw,
+  (CASE WHEN layer = 'PERSONAL' THEN 0.1 ELSE 0 END)::DOUBLE + (CASE status WHEN 'hot' THEN 0.2 WHEN 'warm' THEN 0.15 ELSE 0 END)::DOUBLE + 0.05::DOUBLE * least(session_count, 5) AS base FROM g),
+x AS (SELECT conv_id, turn, id, seq, round(len(list_intersect(w, lw))::DOUBLE / len(list_distinct(list_concat(w, lw))) + base, 6) AS score FROM q, l),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, seq) AS INTEGER) AS rank FROM x WHERE score > 0) SELECT conv_id, turn, id, score, rank FROM r WHERE rank <= 20""")
 def graph_summary_top20(s, d):
-    q = s.createDataFrame([(0, "nation_1 and nation_2"), (1, "customer_5")], "i int, text string").select("i", F.split(F.lower("text"), " ").alias("w"))
-    n = D.nodes(s, d).filter("type <> 'Product'")
-    x = n.join(F.broadcast(q)).withColumn("score", F.round(X.jaccard(F.col("w"), F.array(F.lower("label"))), 6)).filter("score > 0")
-    return x.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "seq"))).filter("rank <= 20").select("i", "id", "score", "rank")
+    q = t(s, d, "conversations").filter("turn = 1").select("conv_id", "turn", F.concat("text", F.lit(" nation_"), F.col("conv_id") % 25).alias("text"))
+    k = F.col("seq") % 7
+    n = D.nodes(s, d).withColumn("layer", F.when(F.col("seq") % 3 == 0, "PERSONAL").otherwise("UNIVERSAL")).withColumn("status", F.when(k == 0, "hot").when(k == 1, "warm").otherwise(""))
+    n = n.withColumn("session_count", (F.col("seq") % 9).cast("int")).withColumn("last_active", F.col("seq").cast("string"))
+    return R.graph_summary(q, n, ["conv_id", "turn"])
 
 
 @query()
@@ -516,15 +536,17 @@ def prose_clusters(s, d):
 
 
 @query("""WITH n AS (SELECT 'customer_' || c_custkey AS id, c_name AS label, 'Organization' AS type FROM customer WHERE c_custkey % 2 = 0),
-e AS (SELECT DISTINCT 'customer_' || o_custkey AS id, 'C' || o_custkey AS label, CASE WHEN o_custkey % 5 = 0 THEN 'Odd' ELSE 'Place' END AS type FROM orders)
+r AS (SELECT 'customer_' || o_custkey AS id, 'O' || o_orderkey AS label, CASE WHEN o_orderkey % 5 = 0 THEN 'Odd' ELSE 'Place' END AS type, o_orderkey AS seq FROM orders),
+e AS (SELECT id, arg_min(label, seq) AS label, arg_min(type, seq) AS type, count(*) AS m FROM r GROUP BY id)
 SELECT coalesce(n.id, e.id) AS id, coalesce(n.label, e.label) AS label, CASE WHEN n.id IS NOT NULL THEN n.type WHEN e.type = 'Odd' THEN 'Unknown' ELSE e.type END AS type,
 CASE WHEN n.id IS NOT NULL THEN 'complete' WHEN e.type = 'Odd' THEN 'incomplete' ELSE 'complete' END AS status,
 CASE WHEN n.id IS NOT NULL THEN 't0' ELSE 't1' END AS created_at, CASE WHEN e.id IS NOT NULL THEN 't1' ELSE 't0' END AS last_active,
-CAST((n.id IS NOT NULL)::INT + (e.id IS NOT NULL)::INT AS INTEGER) AS session_count FROM n FULL JOIN e ON n.id = e.id""")
+CAST((n.id IS NOT NULL)::INT + CASE WHEN e.id IS NULL OR CAST(split_part(e.id, '_', 2) AS BIGINT) % 3 = 0 THEN 0 ELSE m END AS INTEGER) AS session_count FROM n FULL JOIN e ON n.id = e.id""")
 def upsert_entities(s, d):
-    n = t(s, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("Organization").alias("type"), F.lit("complete").alias("status"), F.lit("t0").alias("created_at"), F.lit("t0").alias("last_active"), F.lit(1).alias("session_count"))
-    e = t(s, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("id"), F.concat(F.lit("C"), "o_custkey").alias("label"), F.when(F.col("o_custkey") % 5 == 0, "Odd").otherwise("Place").alias("type")).distinct()
-    return FA.upsert_entities(n, e, "t1", ["Place", "Organization"])
+    n = t(s, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("Organization").alias("type"), F.lit("complete").alias("status"), F.lit("t0").alias("created_at"), F.lit("t0").alias("last_active"), F.lit(1).alias("session_count"), F.array().cast("array<string>").alias("pending"))
+    e = t(s, d, "orders").select(F.concat(F.lit("customer_"), "o_custkey").alias("id"), F.concat(F.lit("O"), "o_orderkey").alias("label"), F.when(F.col("o_orderkey") % 5 == 0, "Odd").otherwise("Place").alias("type"), F.col("o_orderkey").alias("seq"))
+    seen = t(s, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"))
+    return FA.upsert_entities(n, e, "t1", ["Place", "Organization"], seen).drop("pending")
 
 
 from . import structure_queries  # noqa: E402, F401

@@ -10,10 +10,11 @@ def test_distinct_facts(spark):
 
 
 def test_upsert(spark):
-    n = spark.createDataFrame([("a", "A", "Person", "complete", "t0", "t0", 1), ("b", "B", "Place", "complete", "t0", "t0", 2)], "id string, label string, type string, status string, created_at string, last_active string, session_count int")
-    d = spark.createDataFrame([("a", "other", "Place"), ("c", "C", "Odd"), ("d", "D", "Person")], "id string, label string, type string")
-    got = {r["id"]: tuple(r)[1:] for r in O.upsert_entities(n, d, "t1", ["Person", "Place"]).collect()}
-    assert got == {"a": ("A", "Person", "complete", "t0", "t1", 2), "b": ("B", "Place", "complete", "t0", "t0", 2), "c": ("C", "Unknown", "incomplete", "t1", "t1", 1), "d": ("D", "Person", "complete", "t1", "t1", 1)}
+    none = []
+    n = spark.createDataFrame([("a", "A", "Person", "complete", "t0", "t0", 1, none), ("b", "B", "Place", "complete", "t0", "t0", 2, none), ("e", "E", "Place", "complete", "t0", "t0", 2, none)], "id string, label string, type string, status string, created_at string, last_active string, session_count int, pending array<string>")
+    d = spark.createDataFrame([("a", "other", "Place", 1), ("c", "Zed", "Odd", 2), ("c", "Abe", "Person", 3), ("d", "Zed", "Person", 4), ("d", "Abe", "Place", 5), ("e", "E", "Place", 6)], "id string, label string, type string, seq long")
+    got = {r["id"]: tuple(r)[1:-1] for r in O.upsert_entities(n, d, "t1", ["Person", "Place"], spark.createDataFrame([("e",)], "id string")).collect()}
+    assert got == {"a": ("A", "Person", "complete", "t0", "t1", 2), "b": ("B", "Place", "complete", "t0", "t0", 2), "c": ("Zed", "Unknown", "incomplete", "t1", "t1", 2), "d": ("Zed", "Person", "complete", "t1", "t1", 2), "e": ("E", "Place", "complete", "t0", "t1", 2)}
 
 
 def test_prose(spark):

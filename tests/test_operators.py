@@ -13,7 +13,7 @@ def one(spark, value, f):
     return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
 
 
-@pytest.mark.parametrize("text,want", [("Straße", "strae"), ("Café del Mar", "cafe_del_mar"), ("__a--b__", "a_b"), ("", "")])
+@pytest.mark.parametrize("text,want", [("Straße", "strae"), ("Café del Mar", "cafe_del_mar"), ("__a--b__", "a_b"), ("", ""), ("Žižek", "zizek"), ("Łódź ﬁ", "odz_fi"), ("Kőrösi", "korosi"), ("𝐀½ x℃", "12_x")])
 def test_make_id(spark, text, want):
     assert one(spark, text, X.make_id) == want
 
@@ -25,6 +25,8 @@ def test_count_tokens(spark, text, want):
 
 def test_markdown(spark):
     md = "# Overview\n\nx\n\n## Installation\n\na\n\n### Prerequisites\n\nb\n\n## Usage\nc"
+    blank = C.markdown_sections(spark.createDataFrame([("f", "# A\ntext\n\n\n# B\nx\n\n")], "path string, text string")).collect()
+    assert {r["name"]: r["end_line"] for r in blank} == {"A": 2, "B": 6}
     got = {r["name"]: (r["start_line"], r["parent"]) for r in C.markdown_sections(spark.createDataFrame([("f", md)], "path string, text string")).collect()}
     assert got == {"Overview": (1, None), "Installation": (5, "Overview"), "Prerequisites": (9, "Installation"), "Usage": (13, "Overview")}
 

@@ -29,7 +29,7 @@ def test_files(spark, tmp_path):
     assert [(r["path"].rsplit("/", 1)[1], r["text"], r["total_lines"]) for r in got] == [("a.py", "x\ny\n", 3)]
 
 
-@pytest.mark.parametrize("text,want", [('so {"a": 1} and {"b": 2}', '{"a": 1}'), ("{bad} {\"a\": {\"b\": 2}}", '{"a": {"b": 2}}'), ("none", None), (None, None), ("{", None)])
+@pytest.mark.parametrize("text,want", [('so {"a": 1} and {"b": 2}', '{"a": 1}'), ("{bad} {\"a\": {\"b\": 2}}", None), ('{"a": [1]\n "b": {}\n"c": 2}', '{"a": [1], "b": {}, "c": 2}'), ("none", None), (None, None), ("{", None)])
 def test_first_json(text, want):
     assert E.first_json(text) == want
 
