@@ -126,3 +126,73 @@ def strip_think(c: Column) -> Column:
 
 def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 2), F.lit(".."))).otherwise(c)
+
+
+def symbol_id(path: Column, name: Column, parent: Column | None = None) -> Column:
+    """Id of a unit within a file: the file's, its parent's if it has one, and its own."""
+    parts = [make_id(path), *([F.when(parent.isNotNull() & (parent != ""), make_id(parent))] if parent is not None else []), make_id(name)]
+    return F.concat_ws("__", *parts)
+
+
+def plain_id(name: Column) -> Column:
+    """The activator's own id: lower case, trimmed, spaces as underscores; accents stay."""
+    return F.replace(F.trim(F.lower(name)), F.lit(" "), F.lit("_"))
+
+
+def strip_fences(c: Column) -> Column:
+    """A reply without think blocks and code fences."""
+    return F.trim(F.regexp_replace(strip_think(c), r"```(?:json)?\s*", ""))
+
+
+def topic_verdict(similarity: Column, threshold: float = 0.65) -> Column:
+    """same, changed or undecided by the similarity of embeddings; undecided without one."""
+    return F.when(similarity >= 0.80, "same").when(similarity < threshold, "changed").otherwise("undecided")
+
+
+# What the extractor is told about the topic.
+HINTS = {
+    "keyword": "same (high confidence from keyword match)",
+    "same": "same (high confidence from embedding similarity)",
+    "changed": "changed (medium confidence — verify)",
+    "open": "unresolved — classify the topic yourself",
+}
+
+
+def topic_hint(keyword: Column, similarity: Column, verdict: Column, topic: Column) -> Column:
+    """A keyword settles it, then the similarity, then the verdict between its bounds."""
+    between = F.when(verdict == "subtopic", F.concat(F.lit("subtopic of "), topic, F.lit(" (medium confidence — verify)"))).when(verdict == "changed", HINTS["changed"]).otherwise(HINTS["same"])
+    known = F.when(similarity >= 0.80, HINTS["same"]).when(similarity < 0.65, HINTS["changed"]).otherwise(between)
+    return F.when(F.coalesce(keyword, F.lit("")) != "", HINTS["keyword"]).when(verdict.isNotNull() & similarity.isNotNull(), known).otherwise(HINTS["open"])
+
+
+# A relation as its target would put it.
+REVERSED = {
+    "located_in": "contains", "managed_by": "manages", "part_of": "includes", "belongs_to": "has_member", "played_for": "has_player",
+    "lives_in": "has_resident", "ubicado_en": "contains", "tecnico_de": "manages", "parte_de": "includes", "hincha_de": "fan",
+    "juega_en": "has_player", "pertenece_a": "has_member",
+}
+
+
+def reverse_relation(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in REVERSED.items() for x in kv]), c), c)
+
+
+# Signs of a reply without data.
+NO_DATA = [
+    "i don't have information", "i don't have data", "i can search", "would you like me to search", "shall i look",
+    "no tengo información", "no tengo datos", "puedo buscar", "busque en internet", "querés que busque", "quieres que busque",
+]
+
+
+def says_no_data(c: Column) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(F.lower(c), F.lit(p)) for p in NO_DATA])
+
+
+def blocks_text(blocks: Column) -> Column:
+    """The text of content blocks (array of type, text), joined by spaces."""
+    return F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: F.coalesce(b["text"], F.lit(""))), " ")
+
+
+def target_url(header: str | None, configured: str) -> str:
+    """The header's address, else the configured one, without /v1 and slashes at the end."""
+    return (header or configured).rstrip("/").removesuffix("/v1").rstrip("/")

@@ -549,4 +549,4 @@ def upsert_entities(s, d):
     return FA.upsert_entities(n, e, "t1", ["Place", "Organization"], seen).drop("pending")
 
 
-from . import structure_queries  # noqa: E402, F401
+from . import engine_queries, structure_queries  # noqa: E402, F401
