@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache, reduce
@@ -71,10 +72,11 @@ def fold(c: Column) -> Column:
     """Lower case, decomposed, without the non-ASCII characters that remain."""
     accented, plain, many = decomposed()
     low = F.lower(c)
-    spread = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    spread = F.from_json(F.lit(json.dumps(many, ensure_ascii=False)), "map<string,string>")
     letters = F.transform(F.split(low, ""), lambda x: F.coalesce(F.try_element_at(spread, x), x))
-    low = F.when(low.rlike(f"[{''.join(many)}]"), F.array_join(letters, "")).otherwise(low)
-    return F.regexp_replace(F.translate(low, accented, plain), r"[^\x00-\x7F]", "")
+    wide = F.when(low.rlike(f"[{''.join(many)}]"), F.array_join(letters, "")).otherwise(low)
+    bare = F.regexp_replace(F.translate(wide, accented, plain), r"[^\x00-\x7F]", "")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), bare).otherwise(low)
 
 
 def make_id(c: Column) -> Column:

@@ -14,7 +14,7 @@ from loomgraph.functions.text import count_tokens
 
 from .activation import SHORT, by_keyword, containing, words_of
 from .graph import undirected
-from .rank import layered_budget_by
+from .rank import within_budget
 
 # Tokens for each intent, names of relations from either end, closing sentences.
 BUDGETS = {"overview": 300, "specific": 600, "followup": 400, "chat": 100}
@@ -63,13 +63,12 @@ def layers(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2)
     """text_id, id, depth: breadth-first layers 0..depth around start(text_id, id), each turn by itself; nodes that are missing end a way."""
     ids = nodes.select("id")
     e = undirected(edges).select("src", "dst").distinct().join(ids, F.col("dst") == F.col("id"), "left_semi")
-    seen = start.select("text_id", "id").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    front = start.select("text_id", "id").distinct()
+    seen = front.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = front.join(e, F.col("id") == F.col("src")).select("text_id", F.col("dst").alias("id")).distinct()
-        front = step.join(seen.select("text_id", "id"), ["text_id", "id"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+        front = front.join(e, F.col("id") == F.col("src")).select("text_id", F.col("dst").alias("id")).distinct()
+        seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
+    return seen.groupBy("text_id", "id").agg(F.min("depth").alias("depth"))
 
 
 def ends(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
@@ -106,40 +105,41 @@ def warm_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def assemble(turns: DataFrame, layered: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, overview: str = "") -> DataFrame:
-    """text_id, warm_content, warm_tokens, has_context, needs_tool for turns(text_id, intent) and their layers(text_id, id, depth).
+    """text_id, warm_content, warm_tokens, has_context, needs_tool, hot, warm, cold for turns(text_id, intent) and their layers(text_id, id, depth).
 
     The overview, hot, warm and (for specific and follow-up turns) cold lines share the intent's budget in that order; what overflows is
-    skipped.  The layers stand in tags, cold labels after the warm lines, and a sentence by intent closes the block.  A turn without hot
-    and warm nodes gets the overview alone.
+    skipped, and lines too long for the whole budget are left out before the others are gathered.  The layers stand in tags, cold labels after
+    the warm lines, and a sentence by intent closes the block.  A turn without hot and warm nodes gets the overview alone.
     """
-    order = nodes.select("id", "seq")
-    text = [hot_lines(nodes, edges, facts).withColumn("depth", F.lit(0)), warm_lines(nodes, edges).withColumn("depth", F.lit(1))]
-    text.append(nodes.select("id", F.concat("label", F.lit(" ["), "type", F.lit("]")).alias("line"), F.lit(2).alias("depth")))
-    lines = layered.join(text[0].unionByName(text[1]).unionByName(text[2]), ["id", "depth"]).join(order, "id")
+    text = hot_lines(nodes, edges, facts).withColumn("depth", F.lit(0)).unionByName(warm_lines(nodes, edges).withColumn("depth", F.lit(1)))
+    text = text.unionByName(nodes.select("id", F.concat("label", F.lit(" ["), "type", F.lit("]")).alias("line"), F.lit(2).alias("depth")))
+    text = text.withColumn("tokens", count_tokens(F.col("line")).cast("long")).join(nodes.select("id", "seq"), "id")
     t = turns.select("text_id", "intent", mapped(BUDGETS, F.col("intent"), F.lit(400)).cast("long").alias("budget"))
-    lines = lines.join(t, "text_id").filter("depth < 2 or intent in ('specific', 'followup')")
-    lines = lines.select("text_id", "budget", (F.col("depth") + 1).alias("layer"), "seq", "line", count_tokens(F.col("line")).cast("long").alias("tokens"))
+    lines = layered.join(text, ["id", "depth"]).join(t.drop("intent"), "text_id")
+    line = F.when(F.col("tokens") <= F.col("budget"), F.struct((F.col("depth") + 1).alias("layer"), "seq", "line", "tokens"))
+    count = [F.count_if(F.col("depth") == d).alias(k) for d, k in enumerate(("hot", "warm", "cold"))]
+    g = lines.groupBy("text_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), *count)
+    out = t.join(g, "text_id", "left")
+    ours = F.filter("lines", lambda x: (x["layer"] < 3) | F.col("intent").isin("specific", "followup"))
     if overview:
-        some = layered.select("text_id").distinct()
-        lead = t.join(some, "text_id").select("text_id", "budget", F.lit(0).alias("layer"), F.lit(0).cast("long").alias("seq"), F.lit(overview).alias("line"), count_tokens(F.lit(overview)).cast("long").alias("tokens"))
-        lines = lines.unionByName(lead)
-    kept = layered_budget_by(lines, "text_id")
+        lead = F.array(F.struct(F.lit(0).alias("layer"), F.lit(0).cast("long").alias("seq"), F.lit(overview).alias("line"), count_tokens(F.lit(overview)).cast("long").alias("tokens")))
+        ours = F.concat(lead, ours)
+    out = out.withColumn("kept", within_budget(ours, F.col("budget")))
+    none = F.array().cast("array<string>")
     part = lambda k: F.transform(F.filter("kept", lambda x: x["layer"] == k), lambda x: x["line"])
-    tag = lambda name, body: F.when(F.size(body) > 0, F.concat(F.array(F.lit(f"<{name}>")), body, F.array(F.lit(f"</{name}>")))).otherwise(F.array().cast("array<string>"))
-    cold = F.when((F.size(part(3)) > 0) & (F.size(part(2)) > 0), F.array(F.concat(F.lit("  Also: "), F.array_join(part(3), ", ")))).otherwise(F.array().cast("array<string>"))
-    warm = F.when(F.size(part(2)) > 0, F.concat(part(2), cold)).otherwise(F.array().cast("array<string>"))
-    block = F.array_join(F.concat(part(0), tag("ctx", F.concat(tag("hot", part(1)), tag("warm", warm)))), "\n")
-    out = t.join(kept, "text_id", "left").withColumn("block", F.coalesce(block, F.lit(overview)))
+    tag = lambda name, body: F.when(F.size(body) > 0, F.concat(F.array(F.lit(f"<{name}>")), body, F.array(F.lit(f"</{name}>")))).otherwise(none)
+    out = out.select("*", *[part(k).alias(f"p{k}") for k in range(4)])
+    cold = F.when(F.size("p3") > 0, F.array(F.concat(F.lit("  Also: "), F.array_join("p3", ", ")))).otherwise(none)
+    warm = F.when(F.size("p2") > 0, F.concat("p2", cold)).otherwise(none)
+    block = F.array_join(F.concat("p0", tag("ctx", F.concat(tag("hot", F.col("p1")), tag("warm", warm)))), "\n")
+    out = out.withColumn("block", F.coalesce(block, F.lit(overview)))
     ground = mapped(GROUNDING, F.col("intent"), F.lit(""))
     content = F.when(F.col("block") == "", "").when(ground == "", F.col("block")).otherwise(F.concat("block", F.lit("\n\n"), ground))
     out = out.withColumn("warm_content", content).withColumn("warm_tokens", F.when(F.col("warm_content") == "", 0).otherwise(count_tokens(F.col("warm_content"))))
-    return out.select("text_id", "warm_content", "warm_tokens", (F.col("warm_tokens") > 0).alias("has_context"), (F.col("warm_tokens") == 0).alias("needs_tool"))
+    sizes = [F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("hot", "warm", "cold")]
+    return out.select("text_id", "warm_content", "warm_tokens", (F.col("warm_tokens") > 0).alias("has_context"), (F.col("warm_tokens") == 0).alias("needs_tool"), *sizes)
 
 
 def prepare(turns: DataFrame, nodes: DataFrame, edges: DataFrame, facts: DataFrame, extracted: DataFrame | None = None, overview: str = "") -> DataFrame:
     """The context of each of turns(text_id, text, intent), with the number of nodes in each layer."""
-    layered = layers(seeds(turns, nodes, extracted), nodes, edges)
-    count = lambda d: F.count_if(F.col("depth") == d).alias(("hot", "warm", "cold")[d])
-    sizes = layered.groupBy("text_id").agg(*[count(d) for d in range(3)])
-    out = assemble(turns, layered, nodes, edges, facts, overview).join(sizes, "text_id", "left")
-    return out.select("text_id", "warm_content", "warm_tokens", "has_context", "needs_tool", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("hot", "warm", "cold")])
+    return assemble(turns, layers(seeds(turns, nodes, extracted), nodes, edges), nodes, edges, facts, overview)
