@@ -179,7 +179,7 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 19) -> None:
+def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 17) -> None:
     """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc, taken in blocks of whole rows."""
     size, factors = m.v.shape
     many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
@@ -265,8 +265,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
     lists = got.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    place = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    place = np.array(lists.flatten().to_numpy(), np.int32)
+    del got, lists  # the driver holds the sample's terms once
     lone, near = place < alone, place < len(front)
     pairs = telling_pairs(y, foreseen(y, doc[lone], place[lone], alone), doc[near], place[near], len(front), frequent)
     _, first = np.unique(pairs, return_index=True)
@@ -383,7 +384,7 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 19) -> None:
+def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 17) -> None:
     """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc, taken in blocks of whole rows."""
     size, factors = m.v.shape
     many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
@@ -469,8 +470,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
     lists = got.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    place = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
+    place = np.array(lists.flatten().to_numpy(), np.int32)
+    del got, lists  # the driver holds the sample's terms once
     lone = place < alone
     pairs = telling_pairs(y, foreseen(y, doc[lone], place[lone], alone), doc, place, len(at), frequent)
     _, first = np.unique(pairs, return_index=True)
