@@ -87,33 +87,46 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
+def gradients(m: Machine, y: np.ndarray, doc: np.ndarray, place: np.ndarray, block: int):
+    """Sums over the rows of the logistic loss's gradient: for w0, each w, each v; and the largest squared length of a row's sum of factors.
+
+    (doc, place) is sorted by doc and taken in blocks of whole rows, which bound the memory.
+    """
+    size, factors = m.v.shape
+    cut = np.searchsorted(doc, np.arange(len(y) + 1))
+    by_w, by_v, all_, top, a = np.zeros(size), np.zeros((size, factors)), 0.0, 0.0, 0
+    while a < len(y):
+        b = max(a + 1, int(np.searchsorted(cut, cut[a] + block, side="right")) - 1)
+        d, p = doc[cut[a] : cut[b]] - a, place[cut[a] : cut[b]]
+        sums = np.column_stack([np.bincount(d, m.v[p, f], minlength=b - a) for f in range(factors)])
+        g = 1 / (1 + np.exp(-np.clip(m.logits(b - a, d, p), -30, 30))) - y[a:b]
+        by_w += np.bincount(p, g[d], minlength=size)
+        for f in range(factors):
+            by_v[:, f] += np.bincount(p, (g * sums[:, f])[d], minlength=size)
+        all_, top, a = all_ + float(g.sum()), max(top, float((sums**2).sum(1).max())), b
+    return all_, by_w, by_v - by_w[:, None] * m.v, top
+
+
+BLOCK = 1 << 17  # pairs of a row and a term at once
+
+
 def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Machine:
     """Full-batch Adam; (doc, place) sorted by doc."""
     rng = np.random.default_rng(7)
     base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
     first = {"m": np.zeros((size, factors + 1)), "s": np.zeros((size, factors + 1))}
     b1 = b2 = 0.0
-    order = np.argsort(place, kind="stable")
-    pcut = np.flatnonzero(np.append(True, place[order][1:] != place[order][:-1])) if len(doc) else cut
     for t in range(1, rounds + 1):
-        g = 1 / (1 + np.exp(-np.clip(m.logits(len(y), doc, place), -30, 30))) - y
-        sums = np.zeros((len(y), factors))
-        if len(doc):
-            sums[doc[cut]] = np.add.reduceat(m.v[place], cut)
-        each = np.column_stack([g[doc], g[doc, None] * (sums[doc] - m.v[place])])
-        grad = np.zeros((size, factors + 1))
-        if len(doc):
-            grad[place[order][pcut]] = np.add.reduceat(each[order], pcut)
-        grad = grad / len(y) + decay * np.column_stack([m.w, m.v])
+        all_, by_w, by_v, _ = gradients(m, y, doc, place, BLOCK)
+        grad = np.column_stack([by_w, by_v]) / len(y) + decay * np.column_stack([m.w, m.v])
         first["m"] = 0.9 * first["m"] + 0.1 * grad
         first["s"] = 0.99 * first["s"] + 0.01 * grad**2
         step = rate * (first["m"] / (1 - 0.9**t)) / (np.sqrt(first["s"] / (1 - 0.99**t)) + 1e-8)
         m.w -= step[:, 0]
         m.v -= step[:, 1:]
-        b1 = 0.9 * b1 + 0.1 * g.mean()
-        b2 = 0.99 * b2 + 0.01 * g.mean() ** 2
+        b1 = 0.9 * b1 + 0.1 * all_ / len(y)
+        b2 = 0.99 * b2 + 0.01 * (all_ / len(y)) ** 2
         m.w0 -= rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
     return m
 
@@ -132,7 +145,7 @@ def deviance(bad, good, due):
     return 2 * (bad * np.log(np.maximum(bad, 1) / np.maximum(due, 1e-9)) + good * np.log(np.maximum(good, 1) / np.maximum(bad + good - due, 1e-9)))
 
 
-def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 1024) -> np.ndarray:
+def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 512) -> np.ndarray:
     """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
 
     Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  The
@@ -140,15 +153,17 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     explains its rows: one that rides on the same rows is not taken again.
     """
     least = 2 * np.log(max(2, len(among) * (len(among) - 1)))  # either side of each pair
-    where = np.full(size, -1)
+    where = np.full(size, -1, np.int32)
     where[among] = np.arange(len(among))
-    at, row = where[place], np.empty(len(y), np.int64)
+    at, row = where[place], np.empty(len(y), np.int32)
     by = np.argsort(y, kind="stable")
     row[by] = np.arange(len(y))  # clean rows, then toxic ones
     weight = p[by, None].astype(np.float32)
+    seen = at >= 0
+    at, rows, clean = at[seen], row[doc[seen]], int((y <= 0).sum())
     order = np.argsort(at, kind="stable")
-    order = order[at[order] >= 0]
-    at, rows, clean = at[order], row[doc[order]], int((y <= 0).sum())
+    at, rows = at[order], rows[order]
+    del order, seen
 
     def matrix(i):
         x = np.zeros((len(y), min(block, len(among) - i)), np.float32)
@@ -179,26 +194,15 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 17) -> None:
-    """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc, taken in blocks of whole rows."""
-    size, factors = m.v.shape
+def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = BLOCK) -> None:
+    """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc."""
+    size = len(m.w)
     many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
     step = np.where(rest, 1 / (ridge + 0.25 * np.bincount(place, many[doc], minlength=size)), 0.0)
-    cut = np.searchsorted(doc, np.arange(len(y) + 1))
     for _ in range(rounds):
-        by_w, by_v, top, a = ridge * m.w, ridge * m.v, 0.0, 0
-        while a < len(y):
-            b = max(a + 1, int(np.searchsorted(cut, cut[a] + block, side="right")) - 1)
-            d, p = doc[cut[a] : cut[b]] - a, place[cut[a] : cut[b]]
-            sums = np.column_stack([np.bincount(d, m.v[p, f], minlength=b - a) for f in range(factors)])
-            g = 1 / (1 + np.exp(-np.clip(m.logits(b - a, d, p), -30, 30))) - y[a:b]
-            own = np.bincount(p, g[d], minlength=size)
-            by_w += own
-            for f in range(factors):
-                by_v[:, f] += np.bincount(p, (g * sums[:, f])[d], minlength=size) - own * m.v[:, f]
-            top, a = max(top, float((sums**2).sum(1).max())), b
-        m.w -= step * by_w
-        m.v -= (step / (1 + top))[:, None] * by_v
+        _, by_w, by_v, top = gradients(m, y, doc, place, block)
+        m.w -= step * (by_w + ridge * m.w)
+        m.v -= (step / (1 + top))[:, None] * (by_v + ridge * m.v)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
@@ -269,7 +273,9 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     place = np.array(lists.flatten().to_numpy(), np.int32)
     del got, lists  # the driver holds the sample's terms once
     lone, near = place < alone, place < len(front)
-    pairs = telling_pairs(y, foreseen(y, doc[lone], place[lone], alone), doc[near], place[near], len(front), frequent)
+    p = foreseen(y, doc[lone], place[lone], alone)
+    pairs = telling_pairs(y, p, doc[near], place[near], len(front), frequent)
+    del lone, near
     _, first = np.unique(pairs, return_index=True)
     extra = pairs.ravel()[np.sort(first)]
     kept = np.append(np.arange(alone), extra[extra >= alone][:terms]).astype(np.int64)
@@ -337,7 +343,7 @@ def deviance(bad, good, due):
     return 2 * (bad * np.log(np.maximum(bad, 1) / np.maximum(due, 1e-9)) + good * np.log(np.maximum(good, 1) / np.maximum(bad + good - due, 1e-9)))
 
 
-def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 1024) -> np.ndarray:
+def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 512) -> np.ndarray:
     """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
 
     Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  The
@@ -345,15 +351,17 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     explains its rows: one that rides on the same rows is not taken again.
     """
     least = 2 * np.log(max(2, len(among) * (len(among) - 1)))  # either side of each pair
-    where = np.full(size, -1)
+    where = np.full(size, -1, np.int32)
     where[among] = np.arange(len(among))
-    at, row = where[place], np.empty(len(y), np.int64)
+    at, row = where[place], np.empty(len(y), np.int32)
     by = np.argsort(y, kind="stable")
     row[by] = np.arange(len(y))  # clean rows, then toxic ones
     weight = p[by, None].astype(np.float32)
+    seen = at >= 0
+    at, rows, clean = at[seen], row[doc[seen]], int((y <= 0).sum())
     order = np.argsort(at, kind="stable")
-    order = order[at[order] >= 0]
-    at, rows, clean = at[order], row[doc[order]], int((y <= 0).sum())
+    at, rows = at[order], rows[order]
+    del order, seen
 
     def matrix(i):
         x = np.zeros((len(y), min(block, len(among) - i)), np.float32)
