@@ -289,211 +289,6 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     return Machine(chosen, m.w0, m.w.astype(np.float32), m.v.astype(np.float32))
 
 
-def score(self, texts) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for i, n, doc, term in term_pieces(texts):
-            place = self.chosen[term]
-            hit = place >= 0
-            out[i : i + n] = self.logits(n, *distinct(doc[hit], place[hit]))
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Machine:
-    """Full-batch Adam; (doc, place) sorted by doc."""
-    rng = np.random.default_rng(7)
-    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    first = {"m": np.zeros((size, factors + 1)), "s": np.zeros((size, factors + 1))}
-    b1 = b2 = 0.0
-    order = np.argsort(place, kind="stable")
-    pcut = np.flatnonzero(np.append(True, place[order][1:] != place[order][:-1])) if len(doc) else cut
-    for t in range(1, rounds + 1):
-        g = 1 / (1 + np.exp(-np.clip(m.logits(len(y), doc, place), -30, 30))) - y
-        sums = np.zeros((len(y), factors))
-        if len(doc):
-            sums[doc[cut]] = np.add.reduceat(m.v[place], cut)
-        each = np.column_stack([g[doc], g[doc, None] * (sums[doc] - m.v[place])])
-        grad = np.zeros((size, factors + 1))
-        if len(doc):
-            grad[place[order][pcut]] = np.add.reduceat(each[order], pcut)
-        grad = grad / len(y) + decay * np.column_stack([m.w, m.v])
-        first["m"] = 0.9 * first["m"] + 0.1 * grad
-        first["s"] = 0.99 * first["s"] + 0.01 * grad**2
-        step = rate * (first["m"] / (1 - 0.9**t)) / (np.sqrt(first["s"] / (1 - 0.99**t)) + 1e-8)
-        m.w -= step[:, 0]
-        m.v -= step[:, 1:]
-        b1 = 0.9 * b1 + 0.1 * g.mean()
-        b2 = 0.99 * b2 + 0.01 * g.mean() ** 2
-        m.w0 -= rate * (b1 / (1 - 0.9**t)) / (np.sqrt(b2 / (1 - 0.99**t)) + 1e-8)
-    return m
-
-
-def foreseen(y: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """Each row's probability by a machine that learned the other half of the rows; never nearer to 0 or 1 than an eighth of the base rates."""
-    out, half = np.zeros(len(y)), np.arange(len(y)) % 2
-    for k in (0, 1):
-        own, other = half[doc] == k, half[doc] != k
-        m = train(np.zeros(0), max(1, size), y[half != k], doc[other] // 2, place[other])
-        out[half == k] = m.logits(int((half == k).sum()), doc[own] // 2, place[own])
-    return np.clip(1 / (1 + np.exp(-np.clip(out, -30, 30))), y.mean() / 8, 1 - (1 - y.mean()) / 8)
-
-
-def deviance(bad, good, due):
-    return 2 * (bad * np.log(np.maximum(bad, 1) / np.maximum(due, 1e-9)) + good * np.log(np.maximum(good, 1) / np.maximum(bad + good - due, 1e-9)))
-
-
-def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 512) -> np.ndarray:
-    """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
-
-    Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  The
-    binomial deviance from the sum of p bounds the probability of chance by exp(-deviance / 2).  A pair that is taken
-    explains its rows: one that rides on the same rows is not taken again.
-    """
-    least = 2 * np.log(max(2, len(among) * (len(among) - 1)))  # either side of each pair
-    where = np.full(size, -1, np.int32)
-    where[among] = np.arange(len(among))
-    at, row = where[place], np.empty(len(y), np.int32)
-    by = np.argsort(y, kind="stable")
-    row[by] = np.arange(len(y))  # clean rows, then toxic ones
-    weight = p[by, None].astype(np.float32)
-    seen = at >= 0
-    at, rows, clean = at[seen], row[doc[seen]], int((y <= 0).sum())
-    order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
-    del order, seen
-
-    def matrix(i):
-        x = np.zeros((len(y), min(block, len(among) - i)), np.float32)
-        lo, hi = np.searchsorted(at, [i, i + block])
-        x[rows[lo:hi], at[lo:hi] - i] = 1
-        return x
-
-    found, worth = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
-    for i in range(0, len(among), block):
-        a = matrix(i)
-        for j in range(i, len(among), block):
-            b = a if i == j else matrix(j)
-            bad = (a[clean:].T @ b[clean:]).astype(np.float64)
-            good = (a[:clean].T @ b[:clean]).astype(np.float64)
-            due = ((a * weight).T @ b).astype(np.float64)
-            dev = deviance(bad, good, due)
-            x, z = np.nonzero(np.triu(dev, 1) > least if i == j else dev > least)
-            found.append(np.column_stack([among[x + i], among[z + j]]))
-            worth.append(dev[x, z])
-    found, worth = np.concatenate(found), np.concatenate(worth)
-    y, p, out = y[by], p[by].copy(), []
-    of = lambda k: rows[np.searchsorted(at, where[k]) : np.searchsorted(at, where[k], side="right")]
-    for i, j in found[np.lexsort((found[:, 1], found[:, 0], -worth))].tolist():
-        r = np.intersect1d(of(i), of(j), assume_unique=True)
-        if deviance(bad := y[r].sum(), len(r) - bad, p[r].sum()) > least:
-            out.append((i, j))
-            p[r] = (bad + y.mean()) / (len(r) + 1)
-    return np.array(out, np.int64).reshape(-1, 2)
-
-
-def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = 1 << 17) -> None:
-    """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc, taken in blocks of whole rows."""
-    size, factors = m.v.shape
-    many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
-    step = np.where(rest, 1 / (ridge + 0.25 * np.bincount(place, many[doc], minlength=size)), 0.0)
-    cut = np.searchsorted(doc, np.arange(len(y) + 1))
-    for _ in range(rounds):
-        by_w, by_v, top, a = ridge * m.w, ridge * m.v, 0.0, 0
-        while a < len(y):
-            b = max(a + 1, int(np.searchsorted(cut, cut[a] + block, side="right")) - 1)
-            d, p = doc[cut[a] : cut[b]] - a, place[cut[a] : cut[b]]
-            sums = np.column_stack([np.bincount(d, m.v[p, f], minlength=b - a) for f in range(factors)])
-            g = 1 / (1 + np.exp(-np.clip(m.logits(b - a, d, p), -30, 30))) - y[a:b]
-            own = np.bincount(p, g[d], minlength=size)
-            by_w += own
-            for f in range(factors):
-                by_v[:, f] += np.bincount(p, (g * sums[:, f])[d], minlength=size) - own * m.v[:, f]
-            top, a = max(top, float((sums**2).sum(1).max())), b
-        m.w -= step * by_w
-        m.v -= (step / (1 + top))[:, None] * by_v
-
-
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
-    spark = docs.sparkSession
-    y = labels.filter(learnable & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__lg_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    coin = F.pmod(F.xxhash64(F.lit(3), "__lg_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    n = y.count()
-    if n == 0:
-        return 0.0
-    picked = y.filter(coin < min(1.0, most_rows / n))  # at most about most_rows rows, so it may be broadcast
-    src = docs.select(F.col("doc_id").alias("__lg_id"), "text").join(F.broadcast(picked), "__lg_id").select("text", "toxic").repartition(spark.sparkContext.defaultParallelism)
-
-    def count(parts):
-        import pyarrow as pa
-
-        n = np.zeros((2, 1 << BUCKETS), np.int64)
-        rows = np.zeros(2, np.int64)
-        for b in parts:
-            y = b.column(1).to_numpy().astype(np.int64)
-            y = (y > 0).astype(np.int64)
-            rows += np.bincount(y, minlength=2)
-            for i, _, doc, term in term_pieces(b.column(0)):
-                doc, term = distinct(doc, term)
-                for k in (0, 1):
-                    n[k] += np.bincount(term[y[doc + i] == k], minlength=1 << BUCKETS)
-        at = np.flatnonzero(n.sum(0) >= 1)
-        at, n = np.append(at, -1), np.column_stack([n[:, at], rows])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0]), pa.array(n[1])], ["b", "n0", "n1"])
-
-    freq = src.mapInArrow(count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    freq = freq.orderBy("b").toArrow()  # at most 2^BUCKETS + 1 rows
-    if not freq.num_rows or freq.column("n0")[0].as_py() + freq.column("n1")[0].as_py() == 0:
-        return 0.0
-    seen, c0, c1 = (freq.column(k).to_numpy() for k in ("b", "n0", "n1"))
-    n0, n1 = float(c0[0]), float(c1[0])  # bucket -1 counts the rows
-    if n0 == 0 or n1 == 0:
-        return n1 / (n0 + n1)
-    seen, c0, c1 = seen[1:], c0[1:], c1[1:]
-    p = (c0 + c1 + 1) / (n0 + n1 + 2)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    common = c0 + c1 >= 3
-    best = np.flatnonzero(common & (z >= 4))
-    best = best[np.lexsort((seen[best], -z[best]))][:terms]
-    often = np.flatnonzero(common)
-    often = often[np.lexsort((seen[often], -(c0 + c1)[often]))][:screened]
-    alone, front = len(best), np.append(best, often[~np.isin(often, best)])
-    at = np.append(seen[front], np.delete(seen, front))  # all buckets: those that tell alone, the frequent ones, the others
-    chosen = np.full(1 << BUCKETS, -1, np.int32)
-    chosen[at] = np.arange(len(at))
-    frequent = chosen[seen[often]].astype(np.int64)
-
-    def rows(parts):
-        import pyarrow as pa
-
-        for b in parts:
-            lists = []
-            for _, n, doc, term in term_pieces(b.column(0)):
-                place = chosen[term]
-                doc, place = distinct(doc[place >= 0], place[place >= 0])
-                cut = np.searchsorted(doc, np.arange(n + 1))
-                lists += [place[cut[i] : cut[i + 1]].astype(np.int32) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "places"])
-
-    got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
-    y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
-    lists = got.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-    place = np.array(lists.flatten().to_numpy(), np.int32)
-    del got, lists  # the driver holds the sample's terms once
-    lone = place < alone
-    pairs = telling_pairs(y, foreseen(y, doc[lone], place[lone], alone), doc, place, len(at), frequent)
-    _, first = np.unique(pairs, return_index=True)
-    extra = pairs.ravel()[np.sort(first)]
-    kept = np.append(np.arange(alone), extra[extra >= alone][:terms]).astype(np.int64)
-    new = np.full(len(at), -1)
-    new[kept] = np.arange(len(kept))
-    chosen = np.full(1 << BUCKETS, -1, np.int32)
-    chosen[at[kept]] = np.arange(len(kept))
-    doc, place = doc[new[place] >= 0], new[place[new[place] >= 0]]
-    return train(chosen, max(1, len(kept)), y, doc, place)
-
-
 def score(docs: DataFrame, machine: Machine | float) -> DataFrame:
     """docs with __lg_toxic, the probability."""
     if isinstance(machine, float):

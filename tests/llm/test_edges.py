@@ -1,12 +1,15 @@
 """Brute force for the learned operators and the sharding law; repeated ids, clashing columns, odd rows, through operators and pipeline stages."""
 
+import ast
 import collections
 import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +181,24 @@ def test_rest_of_the_terms_is_fitted():
     assert got[0] == pytest.approx(got[1]) and got[0][1] < -0.3 and got[0][2] > 0.3 and got[0][0] == 0
 
 
+def test_toxicity_every_bucket_of_the_sample_has_a_weight(spark):
+    """Also buckets of one row, and those that tell nothing."""
+    rows = [(i, f"common words w{i} {'vile' if i % 4 == 0 else 'kind'}", int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = op3_toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    seen = set()
+    for _, _, _, term in op3_toxicity.term_pieces(pa.array([t for _, t, _ in rows])):
+        seen |= set(term.tolist())
+    assert set(np.flatnonzero(m.chosen >= 0).tolist()) == seen and len(m.w) == len(m.v) == len(seen) and (m.w != 0).sum() > 200
+
+
+def test_no_name_is_defined_twice():
+    for path in sorted(Path(op3_toxicity.__file__).parent.glob("*.py")):
+        for scope in [n for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, (ast.Module, ast.ClassDef))]:
+            names = [n.name for n in scope.body if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+            assert len(names) == len(set(names)), path.name
+
+
 def test_toxicity_odd_rows(spark):
     rows = [(i, f"you are a {'bad fool' if i % 2 else 'good friend'} number {i % 5}", i % 2) for i in range(200)] + [(300, None, 1), (301, "", 0), (302, "fool " * 20_000, None), (5, "you are a bad fool number 0", 1), (None, "x", 1)]
     docs = spark.createDataFrame([(i, t, "s", 2.0) for i, t, _ in rows], "doc_id long, text string, toxic string, score double")
