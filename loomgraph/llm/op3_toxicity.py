@@ -87,24 +87,39 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def gradients(m: Machine, y: np.ndarray, doc: np.ndarray, place: np.ndarray, block: int):
+def run_sums(key: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int, block: int) -> np.ndarray:
+    """For each key below ``size``, the sum of rows[at] over its entries; keys are sorted and taken in blocks of whole runs, which bound the memory."""
+    out = np.zeros((size, rows.shape[1]))
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    end, a = np.append(cut[1:], len(key)), 0
+    while a < len(cut):
+        b = max(a + 1, int(np.searchsorted(end, cut[a] + block, side="right")))
+        out[key[cut[a:b]]] = np.add.reduceat(rows[at[cut[a] : end[b - 1]]], cut[a:b] - cut[a])
+        a = b
+    return out
+
+
+def turned(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs sorted by place: places, docs."""
+    key = place.astype("<i8")
+    key <<= 32
+    key |= doc
+    key.sort()
+    halves = key.view("<i4")
+    return halves[1::2].copy(), halves[::2].copy()
+
+
+def gradients(m: Machine, y: np.ndarray, doc: np.ndarray, place: np.ndarray, by_place: tuple[np.ndarray, np.ndarray], block: int):
     """Sums over the rows of the logistic loss's gradient: for w0, each w, each v; and the largest squared length of a row's sum of factors.
 
-    (doc, place) is sorted by doc and taken in blocks of whole rows, which bound the memory.
+    (doc, place) is sorted by doc, ``by_place`` holds the same pairs sorted by place.
     """
-    size, factors = m.v.shape
-    cut = np.searchsorted(doc, np.arange(len(y) + 1))
-    by_w, by_v, all_, top, a = np.zeros(size), np.zeros((size, factors)), 0.0, 0.0, 0
-    while a < len(y):
-        b = max(a + 1, int(np.searchsorted(cut, cut[a] + block, side="right")) - 1)
-        d, p = doc[cut[a] : cut[b]] - a, place[cut[a] : cut[b]]
-        sums = np.column_stack([np.bincount(d, m.v[p, f], minlength=b - a) for f in range(factors)])
-        g = 1 / (1 + np.exp(-np.clip(m.logits(b - a, d, p), -30, 30))) - y[a:b]
-        by_w += np.bincount(p, g[d], minlength=size)
-        for f in range(factors):
-            by_v[:, f] += np.bincount(p, (g * sums[:, f])[d], minlength=size)
-        all_, top, a = all_ + float(g.sum()), max(top, float((sums**2).sum(1).max())), b
-    return all_, by_w, by_v - by_w[:, None] * m.v, top
+    size, k = m.v.shape
+    sums = run_sums(doc, place, np.column_stack([m.v, (m.v**2).sum(1), m.w]), len(y), block)
+    length = (sums[:, :k] ** 2).sum(1)
+    g = 1 / (1 + np.exp(-np.clip(m.w0 + sums[:, k + 1] + 0.5 * (length - sums[:, k]), -30, 30))) - y
+    back = run_sums(*by_place, np.column_stack([g, g[:, None] * sums[:, :k]]), size, block)
+    return float(g.sum()), back[:, 0], back[:, 1:] - back[:, :1] * m.v, float(length.max(initial=0))
 
 
 BLOCK = 1 << 17  # pairs of a row and a term at once
@@ -117,8 +132,9 @@ def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place:
     m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
     first = {"m": np.zeros((size, factors + 1)), "s": np.zeros((size, factors + 1))}
     b1 = b2 = 0.0
+    by_place = turned(doc, place)
     for t in range(1, rounds + 1):
-        all_, by_w, by_v, _ = gradients(m, y, doc, place, BLOCK)
+        all_, by_w, by_v, _ = gradients(m, y, doc, place, by_place, BLOCK)
         grad = np.column_stack([by_w, by_v]) / len(y) + decay * np.column_stack([m.w, m.v])
         first["m"] = 0.9 * first["m"] + 0.1 * grad
         first["s"] = 0.99 * first["s"] + 0.01 * grad**2
@@ -148,7 +164,8 @@ def deviance(bad, good, due):
 def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 512) -> np.ndarray:
     """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
 
-    Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  The
+    Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  Rows
+    of one label and one p (most have the least or the largest) are counted only; a second product sums p over the others.  The
     binomial deviance from the sum of p bounds the probability of chance by exp(-deviance / 2).  A pair that is taken
     explains its rows: one that rides on the same rows is not taken again.
     """
@@ -156,29 +173,37 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     where = np.full(size, -1, np.int32)
     where[among] = np.arange(len(among))
     at, row = where[place], np.empty(len(y), np.int32)
-    by = np.argsort(y, kind="stable")
-    row[by] = np.arange(len(y))  # clean rows, then toxic ones
+    kind = 3 * (y > 0) + 1 + (p >= p.max()) - (p <= p.min())
+    by = np.argsort(kind, kind="stable")
+    row[by] = np.arange(len(y))  # clean rows, then toxic ones; in each those of the least p, others, those of the largest
     weight = p[by, None].astype(np.float32)
+    ends = np.searchsorted(kind[by], np.arange(7))
     seen = at >= 0
-    at, rows, clean = at[seen], row[doc[seen]], int((y <= 0).sum())
+    at, rows = at[seen], row[doc[seen]]
     order = np.argsort(at, kind="stable")
     at, rows = at[order], rows[order]
     del order, seen
 
-    def matrix(i):
-        x = np.zeros((len(y), min(block, len(among) - i)), np.float32)
+    def matrix(i, room):
+        x = room[:, : min(block, len(among) - i)]
+        x[:] = 0
         lo, hi = np.searchsorted(at, [i, i + block])
         x[rows[lo:hi], at[lo:hi] - i] = 1
         return x
 
     found, worth = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
+    rooms = np.empty((2, len(y), min(block, len(among))), np.float32)
     for i in range(0, len(among), block):
-        a = matrix(i)
+        a = matrix(i, rooms[0])
         for j in range(i, len(among), block):
-            b = a if i == j else matrix(j)
-            bad = (a[clean:].T @ b[clean:]).astype(np.float64)
-            good = (a[:clean].T @ b[:clean]).astype(np.float64)
-            due = ((a * weight).T @ b).astype(np.float64)
+            b = a if i == j else matrix(j, rooms[1])
+            count, due = np.zeros((2, a.shape[1], b.shape[1])), np.zeros((a.shape[1], b.shape[1]))
+            for k in np.flatnonzero(ends[:-1] < ends[1:]).tolist():
+                part = slice(ends[k], ends[k + 1])
+                c = (a[part].T @ b[part]).astype(np.float64)
+                count[k // 3] += c
+                due += (a[part] * weight[part]).T @ b[part] if k % 3 == 1 else c * p[by[ends[k]]]
+            good, bad = count
             dev = deviance(bad, good, due)
             x, z = np.nonzero(np.triu(dev, 1) > least if i == j else dev > least)
             found.append(np.column_stack([among[x + i], among[z + j]]))
@@ -199,8 +224,9 @@ def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place:
     size = len(m.w)
     many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
     step = np.where(rest, 1 / (ridge + 0.25 * np.bincount(place, many[doc], minlength=size)), 0.0)
+    by_place = turned(doc, place)
     for _ in range(rounds):
-        _, by_w, by_v, top = gradients(m, y, doc, place, block)
+        _, by_w, by_v, top = gradients(m, y, doc, place, by_place, block)
         m.w -= step * (by_w + ridge * m.w)
         m.v -= (step / (1 + top))[:, None] * (by_v + ridge * m.v)
 
