@@ -87,42 +87,62 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def run_sums(key: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int, block: int) -> np.ndarray:
-    """For each key below ``size``, the sum of rows[at] over its entries; keys are sorted and taken in blocks of whole runs, which bound the memory."""
-    out = np.zeros((size, rows.shape[1]))
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    end, a = np.append(cut[1:], len(key)), 0
-    while a < len(cut):
-        b = max(a + 1, int(np.searchsorted(end, cut[a] + block, side="right")))
-        out[key[cut[a:b]]] = np.add.reduceat(rows[at[cut[a] : end[b - 1]]], cut[a:b] - cut[a])
-        a = b
-    return out
+BLOCK = 1 << 17  # pairs of a row and a term at once
 
 
-def turned(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs sorted by place: places, docs."""
-    key = place.astype("<i8")
-    key <<= 32
-    key |= doc
-    key.sort()
-    halves = key.view("<i4")
-    return halves[1::2].copy(), halves[::2].copy()
+def run_starts(doc: np.ndarray, n: int) -> np.ndarray:
+    """Where the pairs of each row begin, and their end; doc is sorted."""
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    out = np.zeros(n + 1, np.int64)
+    out[doc[cut].astype(np.int64) + 1] = np.diff(np.append(cut, len(doc)))
+    return out.cumsum()
 
 
-def gradients(m: Machine, y: np.ndarray, doc: np.ndarray, place: np.ndarray, by_place: tuple[np.ndarray, np.ndarray], block: int):
-    """Sums over the rows of the logistic loss's gradient: for w0, each w, each v; and the largest squared length of a row's sum of factors.
+def run_sums(start: np.ndarray, at: np.ndarray, rows, width: int, block: int) -> np.ndarray:
+    """For each k the sum of rows(at[start[k] : start[k + 1]]); blocks of whole runs bound the memory."""
+    out = np.zeros((len(start) - 1, width))
+    full = np.flatnonzero(start[1:] > start[:-1])
+    begin, end, a = start[full], start[full + 1], 0
+    while a < len(full):
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + block, side="right")))
+        out[full[a:b]] = np.add.reduceat(rows(at[begin[a] : end[b - 1]]), begin[a:b] - begin[a])
+        a = b
+    return out
+
 
-    (doc, place) is sorted by doc, ``by_place`` holds the same pairs sorted by place.
+def turned(doc: np.ndarray, place: np.ndarray, size: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs sorted by place: where those of each place begin, and their docs.  A counting sort, a block at a time."""
+    start = np.zeros(size + 1, np.int64)
+    for i in range(0, len(place), block):
+        start[1:] += np.bincount(place[i : i + block], minlength=size)
+    np.cumsum(start, out=start)
+    free, out = start[:-1].copy(), np.empty_like(doc)
+    for i in range(0, len(place), block):
+        part = place[i : i + block]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        n = np.diff(np.append(cut, len(part)))
+        out[np.repeat(free[part[cut]] - cut, n) + np.arange(len(part))] = doc[i : i + block][order]
+        free[part[cut]] += n
+    return start, out
+
+
+def gradients(m: Machine, y: np.ndarray, start: np.ndarray, place: np.ndarray, by_place: tuple[np.ndarray, np.ndarray], block: int):
+    """Sums over the rows of the logistic loss's gradient: for w0, each w and v (one column each); and the largest squared length of a row's sum of factors.
+
+    place[start[i] : start[i + 1]] are the places of row i; ``by_place`` holds the same pairs sorted by place.
     """
-    size, k = m.v.shape
-    sums = run_sums(doc, place, np.column_stack([m.v, (m.v**2).sum(1), m.w]), len(y), block)
+    k = m.v.shape[1]
+    square = np.einsum("ij,ij->i", m.v, m.v)
+    sums = run_sums(start, place, lambda at: np.column_stack([m.v[at], square[at], m.w[at]]), k + 2, block)
     length = (sums[:, :k] ** 2).sum(1)
     g = 1 / (1 + np.exp(-np.clip(m.w0 + sums[:, k + 1] + 0.5 * (length - sums[:, k]), -30, 30))) - y
-    back = run_sums(*by_place, np.column_stack([g, g[:, None] * sums[:, :k]]), size, block)
-    return float(g.sum()), back[:, 0], back[:, 1:] - back[:, :1] * m.v, float(length.max(initial=0))
-
-
-BLOCK = 1 << 17  # pairs of a row and a term at once
+    back = np.column_stack([g, g[:, None] * sums[:, :k]])
+    out = run_sums(*by_place, lambda at: back[at], k + 1, block)
+    for i in range(0, len(out), block):
+        out[i : i + block, 1:] -= out[i : i + block, :1] * m.v[i : i + block]
+    return float(g.sum()), out, float(length.max(initial=0))
 
 
 def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, factors: int = 8, rounds: int = 100, rate: float = 0.05, decay: float = 1e-4) -> Machine:
@@ -132,10 +152,10 @@ def train(chosen: np.ndarray, size: int, y: np.ndarray, doc: np.ndarray, place:
     m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
     first = {"m": np.zeros((size, factors + 1)), "s": np.zeros((size, factors + 1))}
     b1 = b2 = 0.0
-    by_place = turned(doc, place)
+    start, by_place = run_starts(doc, len(y)), turned(doc, place, size)
     for t in range(1, rounds + 1):
-        all_, by_w, by_v, _ = gradients(m, y, doc, place, by_place, BLOCK)
-        grad = np.column_stack([by_w, by_v]) / len(y) + decay * np.column_stack([m.w, m.v])
+        all_, grad, _ = gradients(m, y, start, place, by_place, BLOCK)
+        grad = grad / len(y) + decay * np.column_stack([m.w, m.v])
         first["m"] = 0.9 * first["m"] + 0.1 * grad
         first["s"] = 0.99 * first["s"] + 0.01 * grad**2
         step = rate * (first["m"] / (1 - 0.9**t)) / (np.sqrt(first["s"] / (1 - 0.99**t)) + 1e-8)
@@ -161,7 +181,7 @@ def deviance(bad, good, due):
     return 2 * (bad * np.log(np.maximum(bad, 1) / np.maximum(due, 1e-9)) + good * np.log(np.maximum(good, 1) / np.maximum(bad + good - due, 1e-9)))
 
 
-def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int, among: np.ndarray, block: int = 512) -> np.ndarray:
+def telling_pairs(y: np.ndarray, p: np.ndarray, by_place: tuple[np.ndarray, np.ndarray], among: np.ndarray, block: int = 512) -> np.ndarray:
     """Pairs (i, j) of the places ``among``, the most telling first: rows with both are toxic more, or less, often than ``p`` foresees.
 
     Counts of all pairs come from products of blocks of the 0/1 matrix, so that a block's size bounds the memory.  Rows
@@ -170,27 +190,25 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
     explains its rows: one that rides on the same rows is not taken again.
     """
     least = 2 * np.log(max(2, len(among) * (len(among) - 1)))  # either side of each pair
-    where = np.full(size, -1, np.int32)
-    where[among] = np.arange(len(among))
-    at, row = where[place], np.empty(len(y), np.int32)
+    start, docs = by_place
+    row = np.empty(len(y), np.int32)
     kind = 3 * (y > 0) + 1 + (p >= p.max()) - (p <= p.min())
     by = np.argsort(kind, kind="stable")
     row[by] = np.arange(len(y))  # clean rows, then toxic ones; in each those of the least p, others, those of the largest
     weight = p[by, None].astype(np.float32)
     ends = np.searchsorted(kind[by], np.arange(7))
-    seen = at >= 0
-    at, rows = at[seen], row[doc[seen]]
-    order = np.argsort(at, kind="stable")
-    at, rows = at[order], rows[order]
-    del order, seen
 
     def matrix(i, room):
-        x = room[:, : min(block, len(among) - i)]
+        own = among[i : i + block]
+        x = room[:, : len(own)]
         x[:] = 0
-        lo, hi = np.searchsorted(at, [i, i + block])
-        x[rows[lo:hi], at[lo:hi] - i] = 1
+        for k, place in enumerate(own):
+            x[of(place), k] = 1
         return x
 
+    def of(place):
+        return row[docs[start[place] : start[place + 1]]]
+
     found, worth = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     rooms = np.empty((2, len(y), min(block, len(among))), np.float32)
     for i in range(0, len(among), block):
@@ -210,7 +228,6 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
             worth.append(dev[x, z])
     found, worth = np.concatenate(found), np.concatenate(worth)
     y, p, out = y[by], p[by].copy(), []
-    of = lambda k: rows[np.searchsorted(at, where[k]) : np.searchsorted(at, where[k], side="right")]
     for i, j in found[np.lexsort((found[:, 1], found[:, 0], -worth))].tolist():
         r = np.intersect1d(of(i), of(j), assume_unique=True)
         if deviance(bad := y[r].sum(), len(r) - bad, p[r].sum()) > least:
@@ -221,14 +238,15 @@ def telling_pairs(y: np.ndarray, p: np.ndarray, doc: np.ndarray, place: np.ndarr
 
 def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place: np.ndarray, *, rounds: int = 10, ridge: float = 8.0, block: int = BLOCK) -> None:
     """Fits the weights and factors of the places ``rest`` to what the others leave; (doc, place) sorted by doc."""
-    size = len(m.w)
-    many = np.bincount(doc[rest[place]], minlength=len(y)).astype(np.float64)
-    step = np.where(rest, 1 / (ridge + 0.25 * np.bincount(place, many[doc], minlength=size)), 0.0)
-    by_place = turned(doc, place)
+    start, by_place = run_starts(doc, len(y)), turned(doc, place, len(m.w))
+    many = run_sums(start, place, lambda at: rest[at, None].astype(np.float64), 1, block)
+    step = np.where(rest, 1 / (ridge + 0.25 * run_sums(*by_place, lambda at: many[at], 1, block)[:, 0]), 0.0)
     for _ in range(rounds):
-        _, by_w, by_v, top = gradients(m, y, doc, place, by_place, block)
-        m.w -= step * (by_w + ridge * m.w)
-        m.v -= (step / (1 + top))[:, None] * (by_v + ridge * m.v)
+        _, grad, top = gradients(m, y, start, place, by_place, block)
+        for i in range(0, len(step), block):
+            j = slice(i, i + block)
+            m.w[j] -= step[j] * (grad[j, 0] + ridge * m.w[j])
+            m.v[j] -= (step[j] / (1 + top))[:, None] * (grad[j, 1:] + ridge * m.v[j])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
@@ -294,20 +312,21 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
 
     got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
     y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
-    lists = got.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
-    place = np.array(lists.flatten().to_numpy(), np.int32)
-    del got, lists  # the driver holds the sample's terms once
-    lone, near = place < alone, place < len(front)
+    chunks = got.column("places").chunks
+    length = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks])
+    place = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks])
+    del got, chunks  # the driver holds the sample's terms once, besides the same sorted by term while a step needs that
+    doc = np.repeat(np.arange(len(length), dtype=np.min_scalar_type(len(length))), length)
+    lone = place < alone
     p = foreseen(y, doc[lone], place[lone], alone)
-    pairs = telling_pairs(y, p, doc[near], place[near], len(front), frequent)
-    del lone, near
+    del lone
+    pairs = telling_pairs(y, p, turned(doc, place, len(at)), frequent)
     _, first = np.unique(pairs, return_index=True)
     extra = pairs.ravel()[np.sort(first)]
     kept = np.append(np.arange(alone), extra[extra >= alone][:terms]).astype(np.int64)
     new = np.full(len(at), -1)
     new[kept] = np.arange(len(kept))
-    took = new[place] >= 0
+    took = (new >= 0)[place]
     told = train(chosen, max(1, len(kept)), y, doc[took], new[place[took]])
     m = Machine(chosen, told.w0, np.zeros(len(at)), np.zeros((len(at), told.v.shape[1])))
     m.w[kept], m.v[kept] = told.w[: len(kept)], told.v[: len(kept)]
