@@ -33,7 +33,7 @@ BUCKETS = 20  # bits
 PREFIXES = (4, 5, 6)
 
 
-def term_pieces(texts, most: int = 1 << 20):
+def term_pieces(texts, most: int = 1 << 18):
     """For pieces of an Arrow string array: first text, number of texts, and (text, bucket) of all terms.
 
     A term may come more than once; texts count from the start of their piece.
