@@ -53,19 +53,22 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     return h.select("path", "name", "level", "start_line", "end_line", parent["name"].alias("parent"))
 
 
-BIN = 256
+BLOCK = 256
 
 
 def chunks_in_units(chunks: DataFrame, units: DataFrame) -> DataFrame:
     """units(path, name, start_line, end_line) with the ids of the chunks of their file that lie within them.
 
-    Units are listed under every ``BIN`` lines they span and meet the chunks that begin there, not all chunks of the file.
+    A file's chunks are packed in order of their first lines, ``BLOCK`` to a row; a unit meets its file's packs that may hold chunks
+    within it, so that the work follows the number of chunks, not that of the lines a unit spans.
     """
-    bin_ = lambda c: F.floor(F.col(c) / BIN)
-    spread = units.withColumn("__bin", F.explode(F.sequence(bin_("start_line"), bin_("end_line"))))
-    starts = chunks.select("path", "chunk_id", "line_start", "line_end", bin_("line_start").alias("__bin"))
-    hit = spread.join(starts, ["path", "__bin"]).filter("line_start >= start_line and line_end <= end_line")
-    return hit.groupBy("path", "name", "start_line", "end_line").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    c = chunks.filter("line_start is not null and line_end is not null").select("path", "line_start", "line_end", "chunk_id")
+    c = c.withColumn("__block", F.floor((F.row_number().over(W.partitionBy("path").orderBy("line_start")) - 1) / BLOCK))
+    packs = c.groupBy("path", "__block").agg(F.max("line_start").alias("__to"), F.min("line_end").alias("__low"), F.collect_list(F.struct("line_start", "line_end", "chunk_id")).alias("__chunks"))
+    near = (F.col("__to") >= F.col("start_line")) & (F.col("__low") <= F.col("end_line"))
+    inside = F.filter("__chunks", lambda x: (x["line_start"] >= F.col("start_line")) & (x["line_end"] <= F.col("end_line")))
+    hit = units.join(packs, "path").filter(near).select("path", "name", "start_line", "end_line", F.transform(inside, lambda x: x["chunk_id"]).alias("__ids")).filter(F.size("__ids") > 0)
+    return hit.groupBy("path", "name", "start_line", "end_line").agg(F.array_sort(F.flatten(F.collect_list("__ids"))).alias("chunk_ids"))
 
 
 # What an import path is tried with, in order.
