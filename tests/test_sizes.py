@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import activation as A
 from loomgraph.operators import chunks as C
 from loomgraph.operators import rank as R
 
@@ -39,3 +40,20 @@ def test_top_vectors_is_brute_force(spark):
     assert R.top_vectors(none, e).collect() == [] and R.top_vectors(q, e.filter("vec_id < 0")).collect() == []
     plan = R.top_vectors(q.filter("query_id = 3"), e)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_equal_texts_are_matched_once(spark):
+    """However many turns say the same, pieces of their text are sought once; ids with two texts keep the matches of both."""
+    texts = ["show the Big Bolt of Brand#1", "big bolt", "BOLTS and big", None, "", "bran the", "show the Big Bolt of Brand#1 "]
+    turns = [(i, texts[i % 7]) for i in range(70)] + [(3, "big bolt"), (8, "bran the"), (8, "big bolt")]
+    labels = ["big bolt", "Bolts", "Brand#1", "Brand#12", "bolt big", "th", "the", "showing off", "Bran the great"]
+    t, n = spark.createDataFrame(turns, "text_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "id int, label string")
+    want = set()
+    for i, x in turns:
+        for j, y in enumerate(labels):
+            m, low = (x or "").lower(), y.lower()
+            if len(y) >= 3 and x and (low in m or any(len(w) >= 4 and low.startswith(w) for w in m.split()) or (len(set(low.split())) > 1 and set(low.split()) <= set(m.split()))):
+                want.add((i, j))
+    assert sorted(map(tuple, A.mentioned(t, n).collect())) == sorted(want)
+    _, each = A.alike(t)
+    assert each.count() < 15
