@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import activation as A
 from loomgraph.operators import chunks as C
+from loomgraph.operators import prepare as PR
 from loomgraph.operators import rank as R
 
 
@@ -57,3 +58,19 @@ def test_equal_texts_are_matched_once(spark):
     assert sorted(map(tuple, A.mentioned(t, n).collect())) == sorted(want)
     _, each = A.alike(t)
     assert each.count() < 15
+
+
+def test_turns_with_equal_seeds_share_layers(spark):
+    """Layers are found once a set of seeds, and all turns get them; an overview without seeds gets all entities."""
+    names = ["Alpha Site", "Beta", "Alphabet", "Gamma"]
+    nodes = spark.createDataFrame([(f"n{i}", x, "entity", "") for i, x in enumerate(names)] + [("s", "Note", "synthesis", "on beta things")], "id string, label string, kind string, summary string")
+    edges = spark.createDataFrame([("n0", "n3"), ("n3", "n1"), ("n2", "gone")], "source string, target string")
+    said = [("about alpha site", "specific"), ("tell of Alpha Site", "chat"), ("beta", "chat"), ("nothing", "overview"), ("zzz", "overview"), ("zzz", "chat")]
+    turns = spark.createDataFrame([(i, *said[i % 6]) for i in range(60)], "text_id long, text string, intent string")
+    want = {0: ["n0", "n2"], 1: ["n0", "n2"], 2: ["s"], 3: ["n0", "n1", "n2", "n3"], 4: ["n0", "n1", "n2", "n3"]}
+    assert sorted(map(tuple, PR.seeds(turns, nodes).collect())) == sorted((i, x) for i in range(60) for x in want.get(i % 6, []))
+    members, start = PR.entered(turns, nodes)
+    assert start.count() == 7 and members.select("rep").distinct().count() == 3
+    around = {0: {("n0", 0), ("n2", 0), ("n3", 1), ("n1", 2)}, 2: {("s", 0)}, 3: {(f"n{k}", 0) for k in range(4)}}
+    around |= {1: around[0], 4: around[3], 5: set()}
+    assert sorted(map(tuple, PR.layered(turns, nodes, edges).collect())) == sorted((i, x, d) for i in range(60) for x, d in around[i % 6])
