@@ -467,7 +467,7 @@ lay AS (SELECT text_id, id, CAST(min(depth) AS INTEGER) AS depth FROM lr GROUP B
 @query(f"WITH RECURSIVE {N}, {P}, {D.BOTH}, {LAYERED} SELECT text_id, id, depth FROM lay")
 def context_layers(s, d):
     g = graph(s, d)
-    return PR.layers(PR.seeds(asks(s, d), g), g, D.edges(s, d, uses=False)).select("text_id", "id", "depth")
+    return PR.layered(asks(s, d), g, D.edges(s, d, uses=False)).select("text_id", "id", "depth")
 
 
 TOKENS = "greatest(1, CAST(floor(len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS INTEGER))"
