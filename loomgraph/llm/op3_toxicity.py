@@ -20,6 +20,7 @@ scored whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +89,7 @@ class Machine:
 
 
 BLOCK = 1 << 17  # pairs of a row and a term at once
+PIECE = 1 << 20  # bytes of a machine on its way to the driver
 
 
 def run_starts(doc: np.ndarray, n: int) -> np.ndarray:
@@ -249,42 +251,29 @@ def settle(m: Machine, rest: np.ndarray, y: np.ndarray, doc: np.ndarray, place:
             m.v[j] -= (step[j] / (1 + top))[:, None] * (grad[j, 1:] + ridge * m.v[j])
 
 
-def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
-    spark = docs.sparkSession
-    y = labels.filter(learnable & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__lg_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    coin = F.pmod(F.xxhash64(F.lit(3), "__lg_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    n = y.count()
-    if n == 0:
-        return 0.0
-    picked = y.filter(coin < min(1.0, most_rows / n))  # at most about most_rows rows, so it may be broadcast
-    src = docs.select(F.col("doc_id").alias("__lg_id"), "text").join(F.broadcast(picked), "__lg_id").select("text", "toxic").repartition(spark.sparkContext.defaultParallelism)
-
-    def count(parts):
-        import pyarrow as pa
-
-        n = np.zeros((2, 1 << BUCKETS), np.int64)
-        rows = np.zeros(2, np.int64)
-        for b in parts:
-            y = b.column(1).to_numpy().astype(np.int64)
-            y = (y > 0).astype(np.int64)
-            rows += np.bincount(y, minlength=2)
-            for i, _, doc, term in term_pieces(b.column(0)):
-                doc, term = distinct(doc, term)
-                for k in (0, 1):
-                    n[k] += np.bincount(term[y[doc + i] == k], minlength=1 << BUCKETS)
-        at = np.flatnonzero(n.sum(0) >= 1)
-        at, n = np.append(at, -1), np.column_stack([n[:, at], rows])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0]), pa.array(n[1])], ["b", "n0", "n1"])
-
-    freq = src.mapInArrow(count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    freq = freq.orderBy("b").toArrow()  # at most 2^BUCKETS + 1 rows
-    if not freq.num_rows or freq.column("n0")[0].as_py() + freq.column("n1")[0].as_py() == 0:
+def fit(parts, *, terms: int, screened: int) -> Machine | float:
+    """The machine of a sample, from Arrow batches of its labels and buckets; for no rows 0, for rows of one class their rate."""
+    toxic, length, bucket = [], [], []
+    for b in parts:
+        toxic.append(b.column(0).to_numpy())
+        length.append(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        bucket.append(b.column(1).flatten().to_numpy())
+    if not sum(map(len, toxic)):
         return 0.0
-    seen, c0, c1 = (freq.column(k).to_numpy() for k in ("b", "n0", "n1"))
-    n0, n1 = float(c0[0]), float(c1[0])  # bucket -1 counts the rows
+    toxic, length, bucket = map(np.concatenate, (toxic, length, bucket))
+    n1 = float((toxic > 0).sum())
+    n0 = len(toxic) - n1
     if n0 == 0 or n1 == 0:
         return n1 / (n0 + n1)
-    seen, c0, c1 = seen[1:], c0[1:], c1[1:]
+    c, of = np.zeros((2, 1 << BUCKETS), np.int64), np.repeat(toxic > 0, length)
+    for i in range(0, len(bucket), BLOCK):
+        part, bad = bucket[i : i + BLOCK], of[i : i + BLOCK]
+        for k in (0, 1):
+            c[k] += np.bincount(part[bad == k], minlength=1 << BUCKETS)
+    del of
+    seen = np.flatnonzero(c.sum(0))
+    c0, c1 = c[:, seen]
+    del c
     p = (c0 + c1 + 1) / (n0 + n1 + 2)
     z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
     common = c0 + c1 >= 3
@@ -297,25 +286,14 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     chosen = np.full(1 << BUCKETS, -1, np.int32)
     chosen[at] = np.arange(len(at))
     frequent = chosen[seen[often]].astype(np.int64)
-
-    def rows(parts):
-        import pyarrow as pa
-
-        for b in parts:
-            lists = []
-            for _, n, doc, term in term_pieces(b.column(0)):
-                place = chosen[term]
-                doc, place = distinct(doc[place >= 0], place[place >= 0])
-                cut = np.searchsorted(doc, np.arange(n + 1))
-                lists += [place[cut[i] : cut[i + 1]].astype(np.int32) for i in range(n)]
-            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "places"])
-
-    got = src.mapInArrow(rows, "toxic int, places array<int>").orderBy("toxic", "places").toArrow()  # the sample's chosen terms
-    y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
-    chunks = got.column("places").chunks
-    length = np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks])
-    place = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks])
-    del got, chunks  # the driver holds the sample's terms once, besides the same sorted by term while a step needs that
+    rows = np.split(bucket, np.cumsum(length)[:-1])
+    del bucket
+    # in an order that does not depend on how the rows came; as big-endian bytes places sort like numbers
+    rows = sorted((t, np.sort(chosen[r]).astype(">i4").tobytes()) for t, r in zip(toxic.tolist(), rows))
+    y = np.array([t > 0 for t, _ in rows], np.float64)
+    length = np.array([len(r) // 4 for _, r in rows])
+    place = np.frombuffer(b"".join(r for _, r in rows), ">i4").astype(np.int32)
+    del rows  # from here the sample's terms are held once, besides the same sorted by term while a step needs that
     doc = np.repeat(np.arange(len(length), dtype=np.min_scalar_type(len(length))), length)
     lone = place < alone
     p = foreseen(y, doc[lone], place[lone], alone)
@@ -334,6 +312,40 @@ def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: i
     return Machine(chosen, m.w0, m.w.astype(np.float32), m.v.astype(np.float32))
 
 
+def learn(docs: DataFrame, labels: DataFrame, learnable: Column, *, most_rows: int = 12_000, terms: int = 4096, screened: int = 8192) -> Machine | float:
+    """The sample is fitted in one task, as its size does not grow with the tables; the driver gets the machine only."""
+    spark = docs.sparkSession
+    y = labels.filter(learnable & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__lg_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    coin = F.pmod(F.xxhash64(F.lit(3), "__lg_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
+    n = y.count()
+    if n == 0:
+        return 0.0
+    picked = y.filter(coin < min(1.0, most_rows / n))  # at most about most_rows rows, so it may be broadcast
+    src = docs.select(F.col("doc_id").alias("__lg_id"), "text").join(F.broadcast(picked), "__lg_id").select("text", "toxic").repartition(spark.sparkContext.defaultParallelism)
+
+    def rows(parts):
+        import pyarrow as pa
+
+        for b in parts:
+            for i, n, doc, term in term_pieces(b.column(0)):
+                doc, term = distinct(doc, term)
+                cut = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+                buckets = pa.ListArray.from_arrays(pa.array(cut), pa.array(term.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, n).cast(pa.int32()), buckets], ["toxic", "buckets"])
+
+    def fitted(parts):
+        import pyarrow as pa
+
+        blob = pickle.dumps(fit(parts, terms=terms, screened=screened), 5)
+        for k, i in enumerate(range(0, len(blob), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob[i : i + PIECE]], pa.binary())], ["k", "piece"])
+
+    got = src.mapInArrow(rows, "toxic int, buckets array<int>").repartition(1).mapInArrow(fitted, "k int, piece binary").toArrow()
+    pieces = dict(zip(got.column("k").to_pylist(), got.column("piece").to_pylist()))
+    del got
+    return pickle.loads(b"".join(pieces[k] for k in sorted(pieces))) if pieces else 0.0
+
+
 def score(docs: DataFrame, machine: Machine | float) -> DataFrame:
     """docs with __lg_toxic, the probability."""
     if isinstance(machine, float):

@@ -192,6 +192,25 @@ def test_toxicity_every_bucket_of_the_sample_has_a_weight(spark):
     assert set(np.flatnonzero(m.chosen >= 0).tolist()) == seen and len(m.w) == len(m.v) == len(seen) and (m.w != 0).sum() > 200
 
 
+def test_sample_is_fitted_off_the_driver(spark, monkeypatch):
+    """The driver's Python fits nothing, and the machine does not depend on how the sample's rows come."""
+    rows = [(i, f"common words w{i % 30} {'vile' if i % 4 == 0 else 'kind'}", int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    batch = pa.RecordBatch.from_arrays([pa.array([y for _, _, y in rows], pa.int32()), pa.array([sorted({int(x) for *_, term in op3_toxicity.term_pieces(pa.array([t])) for x in term}) for _, t, _ in rows], pa.list_(pa.int32()))], ["toxic", "buckets"])
+    a = op3_toxicity.fit([batch], terms=4096, screened=8192)
+    b = op3_toxicity.fit([batch.slice(150), batch.slice(0, 0), batch.slice(60, 90), batch.slice(0, 60)], terms=4096, screened=8192)
+
+    def here(*_, **__):
+        raise AssertionError("fitted on the driver")
+
+    for name in ("train", "foreseen", "telling_pairs", "settle"):
+        monkeypatch.setattr(op3_toxicity, name, here)
+    c = op3_toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    for m in (b, c):
+        assert m.w0 == a.w0 and np.array_equal(m.chosen, a.chosen) and np.array_equal(m.w, a.w) and np.array_equal(m.v, a.v)
+    assert op3_toxicity.fit([], terms=4096, screened=8192) == op3_toxicity.fit([batch.slice(0, 0)], terms=4096, screened=8192) == 0.0
+
+
 def test_no_name_is_defined_twice():
     for path in sorted(Path(op3_toxicity.__file__).parent.glob("*.py")):
         for scope in [n for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, (ast.Module, ast.ClassDef))]:
